@@ -349,7 +349,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     def run(batches):
         bpe = model(path)
         for b in batches:
-            rows = [np.frombuffer(x, "<i4") for x in bpe.encode_all(map(pa.Scalar.as_py, b.column(1)))]
+            rows = [np.frombuffer(x, "<i4") for x in bpe.encode_all(x.as_py() for x in b.column(1))]
             offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.empty(0, "<i4")])))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[key, "ids"])
@@ -379,7 +379,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = model(path)
         for b in batches:
-            found = [_digests(bpe, x) for x in bpe.encode_all(map(pa.Scalar.as_py, b.column(1)))]
+            found = [_digests(bpe, x) for x in bpe.encode_all(x.as_py() for x in b.column(1))]
             n, ids, decoded = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
