@@ -11,8 +11,8 @@ def held_out(modulus: int, fold: int, key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % modulus == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, rows: int, longest: int) -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` rows of either label, texts of up to `longest` characters, never of the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: int, rows: tuple[int, int], longest: int) -> list[tuple[str, int]]:
+    """(text, label) of at most `rows` rows of label 0 and of label 1, texts of up to `longest` characters, never of the held-out fold.
 
     Rows are taken by a hash of their key, so the choice doesn't depend on the order or layout of the tables. Null labels are left out; of
     repeated labels the largest counts, of repeated keys any text."""
@@ -21,7 +21,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, fold: i
     order = F.xxhash64("doc_id")
     chosen = None
     for k in (0, 1):
-        part = known.where(F.col("label") == k).orderBy(order, "doc_id").limit(rows)
+        part = known.where(F.col("label") == k).orderBy(order, "doc_id").limit(rows[k])
         chosen = part if chosen is None else chosen.unionByName(part)
     found = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
     return [(r.text, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.text))]

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from byteloom.llm import crf
 from byteloom.llm.labelled import held_out, sample
 
-FIT_ROWS, FIT_CHARS = 2500, 20_000
+#: Bounds of the fitting sample: rows of label 0 and of label 1, and characters of a text.
+FIT_ROWS, FIT_CHARS = (2500, 2500), 20_000
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 OWN = 12

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import bpe, media, quality, toxicity
+from byteloom.llm import bpe, media, packing, quality, toxicity
 from byteloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,10 +29,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
 }
 SQL: dict[str, str] = {}

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from byteloom.llm import crf
 from byteloom.llm.labelled import held_out, sample
 
-#: Bounds of the fitting sample: rows of either label, and characters of a text.
-FIT_ROWS, FIT_CHARS = 1500, 20_000
+#: Bounds of the fitting sample: rows of label 0 and of label 1, and characters of a text.
+FIT_ROWS, FIT_CHARS = (4500, 1500), 20_000
 SPAN = 0.5
 _WORDS = re.compile(r"\w+").findall
 
@@ -84,8 +84,9 @@ class Cache(dict):
         return value
 
 
-def fit(rows: list[tuple[str, int]], least: int = 3, ratio: float = 12.0) -> Model:
+def fit(rows: list[tuple[str, int]], least: int = 4, ratio: float = 12.0) -> Model:
     """From (text, label) rows; with one label only, or none, every score is the share of label 1."""
+    rows = list({(t[:80], y): (t, y) for t, y in rows}.values())  # near copies would count chance words many times
     toxic = sum(y for _, y in rows)
     clean = len(rows) - toxic
     if not toxic or not clean:
@@ -124,7 +125,7 @@ def fit(rows: list[tuple[str, int]], least: int = 3, ratio: float = 12.0) -> Mod
     model = Model(dict(zip(used, w.tolist())), float(w[-1]), trans, first, np.zeros(4))
     x = model.signals(*model.tag([t for t, _ in rows], Cache(model)))
     y = np.array([y for _, y in rows])
-    model.curve = crf.logistic(x, y, np.ones(len(y)), ridge=0.3)
+    model.curve = crf.logistic(x, y, np.ones(len(y)), ridge=0.02)
     return model
 
 
