@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import bpe, fingerprints, media, packing, quality, toxicity, warc
+from byteloom.llm import bpe, fingerprints, media, packing, pii, quality, toxicity, warc
 from byteloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,12 +41,17 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_and_compare(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
 }
