@@ -65,9 +65,9 @@ class _Generations(dict):
         self[key] = value
         return value
 
-    def lacks(self, keys) -> set:
-        """Those of a set of keys that neither generation holds; ages the cache first if it is full."""
-        if len(self) >= self.size:
+    def lacks(self, keys, age: bool = True) -> set:
+        """Those of a set of keys that neither generation holds; a full cache ages first."""
+        if age and len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         return keys.difference(self).difference(self.old)
@@ -103,7 +103,7 @@ class _PairTable:
 class Bpe:
     """A merge list of the `tokenizers` library with byte-level symbols, word ends and lower case."""
 
-    def __init__(self, path: str, cache: int = 300_000, block: int = 512):
+    def __init__(self, path: str, cache: int = 250_000, block: int = 512):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -135,7 +135,7 @@ class Bpe:
         pre = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pre).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
-        self.cache, self.known = _Generations(cache), _Generations(cache)  # by chunk between white space, and by word
+        self.cache = _Generations(cache)  # of words and of what stands between white space alike
         self.table, self.merged_np = _PairTable(self.rank), np.asarray(self.merged)
         self.inner_np, self.last_np = np.asarray(self.inner), np.asarray(self.last)
         self.number = [str(i) for i in range(len(self.tokens))]
@@ -262,10 +262,11 @@ class Bpe:
         """Puts what the cache lacks into it."""
         new = self.cache.lacks(chunks)
         parts = {x: self.find(x) for x in new if not x.isalpha()}
-        words = list(self.known.lacks(new.difference(parts).union(*parts.values())))
-        self.known.update(zip(words, self.words(words)))
-        get = self.known.__getitem__
-        self.cache.update((x, b"".join(map(get, parts[x])) if x in parts else get(x)) for x in new)
+        words = list(self.cache.lacks(new.difference(parts).union(*parts.values()), age=False))
+        self.cache.update(zip(words, self.words(words)))
+        get = self.cache.__getitem__
+        for x, ws in parts.items():
+            self.cache[x] = b"".join(map(get, ws))
 
     def _plain(self, text: str) -> bytes:
         chunks = self._split(text)
