@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), lines: b
     def run(batches):
         for b in batches:
             held, size, at = [], 0, 0
-            texts = b.column(len(keep))
+            texts = b.column(keep.index("text") if "text" in keep else len(keep))
             for i in range(len(texts)):
                 held.append(texts[i].as_py())
                 size += len(held[-1] or "")
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), lines: b
                     yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "lines"][: len(cols)])
                     held, size, at = [], 0, i + 1
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")])).mapInArrow(run, schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0) -> Model:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import bpe, fingerprints, media, packing, pii, quality, toxicity, warc
+from byteloom.llm import bpe, fingerprints, linededup, media, neardup, packing, pii, quality, toxicity, warc
 from byteloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,12 +45,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
