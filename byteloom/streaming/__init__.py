@@ -1 +1,79 @@
+"""Byte streams as they arrive: counts and runs that survive the borders of micro-batches, generation logs, and windows over event time."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+
+def stream_digrams(chunks: DataFrame) -> DataFrame:
+    """(stream_id, a, b, n) per micro-batch from streamed rows (stream_id, pos, v), in order of pos within a batch; the state is the last byte of each stream.
+
+    Sums of n over all batches are the counts of the whole stream."""
+    import pandas as pd
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("pos")
+        last = [state.get[0]] if state.exists else []
+        v = last + rows.v.tolist()
+        state.update((v[-1],))
+        counts = pd.Series(list(zip(v, v[1:])), dtype=object).value_counts()
+        yield pd.DataFrame([(key[0], a, b, int(n)) for (a, b), n in counts.items()], columns=["stream_id", "a", "b", "n"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, a int, b int, n long", "last int", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_runs(chunks: DataFrame) -> DataFrame:
+    """(stream_id, st, start, len): arithmetic runs of four bytes and more, emitted once they end. The state is the open run: its first position, length, step and last byte."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values("pos")
+        start, n, st, last = state.get if state.exists else (0, 0, -1, 0)
+        out = []
+        for pos, v in zip(rows.pos.tolist(), rows.v.tolist()):
+            step = (v - last) & 255
+            if n == 0 or n == 1 or step == st:
+                start, st = (pos, -1) if n == 0 else (start, step)
+                n += 1
+            else:
+                if n >= 4:
+                    out.append((key[0], st, start, n))
+                start, n, st = pos, 1, -1
+            last = v
+        state.update((int(start), int(n), int(st), int(last)))
+        yield pd.DataFrame(out, columns=["stream_id", "st", "start", "len"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, st int, start long, len long", "start long, n long, st int, last int", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_window(chunks: DataFrame, capacity: int) -> DataFrame:
+    """(stream_id, bytes_held, payload) after each micro-batch: the last `capacity` bytes of each stream."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values("pos")
+        held = ((state.get[0] if state.exists else b"") + bytes(rows.v.tolist()))[-capacity:]
+        state.update((held,))
+        yield pd.DataFrame([(key[0], len(held), held)], columns=["stream_id", "bytes_held", "payload"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, bytes_held long, payload binary", "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def daily_statistics(events: DataFrame, late: str = "1 day", size: str = "1 day") -> DataFrame:
+    """Per window of event time and type: events, distinct bytes (about), mean byte; for batch and for streams, where rows later than the watermark are dropped."""
+    v = F.floor("value").cast("long").bitwiseAND(255)
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct(v).alias("distinct_bytes"), F.avg(v).alias("mean_byte")).select(F.col("window.start").alias("start"), "event_type", "n", "distinct_bytes", "mean_byte")
+
+
+def log_generations(history: DataFrame, csv_path: str, json_path: str):
+    """A foreachBatch sink that appends generation rows as CSV and as JSON lines."""
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("append").option("header", "true").csv(csv_path)
+        batch.write.mode("append").json(json_path)
+
+    return history.writeStream.foreachBatch(write)
