@@ -139,8 +139,12 @@ def _ops(spark, names) -> DataFrame:
     parts = []
     for n in names:
         kind = algebra.BY_NAME[n]
-        y = F.array(*(F.struct(F.lit(k).alias("k"), kind.apply(F.col("x"), k).cast("long").alias("y")) for k in (kind.operands or [0])))
-        parts.append(xs.select(F.lit(n).alias("name"), "x", F.explode(y).alias("o")))
+        if kind.operand_bits == 8:
+            rows = xs.withColumn("k", F.explode(F.sequence(F.lit(kind.operands.start), F.lit(255))))
+            parts.append(rows.select(F.lit(n).alias("name"), "x", F.struct("k", kind.apply(F.col("x"), F.col("k")).cast("long").alias("y")).alias("o")))
+        else:  # shifts take their operand as a constant
+            y = F.array(*(F.struct(F.lit(k).alias("k"), kind.apply(F.col("x"), k).cast("long").alias("y")) for k in (kind.operands or [0])))
+            parts.append(xs.select(F.lit(n).alias("name"), "x", F.explode(y).alias("o")))
     t = reduce(DataFrame.unionByName, parts)
     return t.groupBy("name").agg(F.count("*").alias("n"), F.sum("o.y").alias("total"), F.sum(F.col("o.y") * (F.col("x") * 7 + F.col("o.k") * 13 + 1)).cast("long").alias("weighted"))
 

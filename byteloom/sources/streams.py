@@ -104,10 +104,12 @@ def generated(spark: SparkSession, kind: str, n: int, seed: int = 42, step: int
     u = lambda salt: (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     if kind == "lcg":
         # the state after i steps, by doubling the affine map: x -> 1664525 x + 1013904223 modulo 2^32
-        x, a, c = F.lit(seed).cast("decimal(38,0)"), 1664525, 1013904223
+        a, c, rounds = 1664525, 1013904223, []
         for bit in range(max(1, n.bit_length())):
-            x = F.when(F.shiftright(i + 1, bit).bitwiseAND(1) == 1, (x * a + c) % (1 << 32)).otherwise(x).cast("decimal(38,0)")
+            rounds.append(F.struct(F.lit(1 << bit).alias("bit"), F.lit(a).cast("decimal(20,0)").alias("a"), F.lit(c).cast("decimal(20,0)").alias("c")))
             a, c = a * a % (1 << 32), (a * c + c) % (1 << 32)
+        wide = "decimal(38,0)"
+        x = F.aggregate(F.array(*rounds), F.lit(seed).cast(wide), lambda s, r: F.when((i + 1).bitwiseAND(r["bit"].cast("long")) != 0, ((s.cast("decimal(12,0)") * r["a"] + r["c"]) % F.lit(1 << 32).cast("decimal(12,0)")).cast(wide)).otherwise(s))
         value = x.cast("long").bitwiseAND(255)
     else:
         value = {
