@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from byteloom.llm.common import stored
 from byteloom.llm.components import components
 
-K, SEED, BLOCK_LIST, BLOCK_GROUP = 48, 20, 512, 256
+#: Coordinates, their seed, sizes of blocks, and bits of the filter before texts move (bounds what is broadcast: a row for each 64).
+K, SEED, BLOCK_LIST, BLOCK_GROUP, FILTER_BITS = 48, 20, 512, 256, 1 << 23
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
@@ -179,7 +180,7 @@ def candidate_links(reps: DataFrame, need: int, block: int = BLOCK_LIST) -> Data
     kept = posted.join(shared, "pair").groupBy("doc_id").agg(F.collect_list(F.struct("n", "pair")).alias("pairs")).where(F.size("pairs") >= need)
     prefix = stored(kept.select("doc_id", F.explode(F.slice(F.array_sort("pairs"), F.lit(1), F.size("pairs") - (need - 1))).alias("p")).select("doc_id", "p.pair"), "prefix")
     low = reps.select("doc_id", "sig")
-    dealt = _dealt(prefix, "pair", "doc_id", block).join(low, "doc_id").repartition("pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi")
+    dealt = _dealt(prefix, "pair", "doc_id", block).join(low.hint("merge"), "doc_id").repartition("pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi")
 
     def run(batches):
         for t in _groups(batches, ["pair", "lo", "hi"]):
@@ -234,6 +235,14 @@ def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np
     return out
 
 
+def _possible(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Those of rows whose doc_id may be among the wanted: a filter of a fixed number of bits, whatever the input's size, keeps most other texts from moving."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}L) & 63 as int))")
+    words = wanted.groupBy(F.floor(at / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    return rows.join(F.broadcast(words), F.floor(at / 64) == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, block: int = BLOCK_GROUP) -> DataFrame:
     """Links (a, b) of the wanted similarity, as a spanning forest of each pair of blocks; groups: (doc_id, set_digest, root)."""
     dealt = _dealt(groups, "root", "doc_id", block)
@@ -249,8 +258,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int
                     out.append(h)
             yield pa.RecordBatch.from_arrays([b.column(n).take(pa.array(keep, pa.int64())) for n in ("root", "doc_id")] + [pa.array(out, pa.binary())], names=["root", "doc_id", "h"])
 
-    with_sets = groups.join(texts, "doc_id").select("root", "doc_id", "set_digest", "text").mapInArrow(sets, "root long, doc_id long, h binary")
-    spread = dealt.select("root", "lo", "hi", "blk", "doc_id").join(with_sets.select("doc_id", "h"), "doc_id").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    with_sets = groups.hint("merge").join(_possible(texts, groups), "doc_id").select("root", "doc_id", "set_digest", "text").mapInArrow(sets, "root long, doc_id long, h binary")
+    spread = dealt.select("root", "lo", "hi", "blk", "doc_id").join(with_sets.select("doc_id", "h").hint("merge"), "doc_id").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
     def run(batches):
         for t in _groups(batches, ["root", "lo", "hi"]):
