@@ -212,7 +212,9 @@ class WarcReader(DataSourceReader):
             names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith((".warc", ".warc.gz")))
         return [Archive(f"{self.path}/{n}") for n in names]
 
-    def read(self, partition: Archive):
+    def read(self, partition: Archive | None):
+        if partition is None:  # an archive folder without archives
+            return
         system, path = _file_system(partition.path)
         payload = self.verify or "payload" in self.names
         kinds = {"payload_length": pa.int64(), "content_length": pa.int64(), "offset": pa.int64(), "verified": pa.bool_(), "payload": pa.binary()}
