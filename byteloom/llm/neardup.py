@@ -5,7 +5,7 @@
 2. Documents are posted under each coordinate-value pair. Two sets of the wanted similarity agree in at least M of the K coordinates but for a chance of about 1e-7.
    So documents with fewer than M pairs that anyone shares are skipped, and of the others' shared pairs, rarest first, all but the last M - 1 suffice: any two
    documents with M in common meet in one of those.
-3. Within each posting list signatures are compared in blocks, all against all; pairs that agree in M coordinates leave a spanning forest of links, not all pairs. Their
+3. Within each posting list signatures are compared in blocks, all against all; pairs that agree in M coordinates leave stars of links, not all pairs. Their
    components are candidate groups: every link sought lies within one.
 4. Within candidate groups full sets are compared, again in blocks of bounded size, all against all, by exact counts. The components of the links confirmed are the result.
 
@@ -138,9 +138,12 @@ class _Sets:
         return True
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def _stars(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node) of each set that the links make: groups of the same documents leave the same stars, which fall together."""
     sets = _Sets()
-    return [(x, y) for x, y in zip(left.tolist(), right.tolist()) if sets.join(x, y)]
+    for x, y in zip(left.tolist(), right.tolist()):
+        sets.join(x, y)
+    return [(x, root) for x in sets.up if (root := sets.root(x)) != x]
 
 
 def _groups(batches, names: list[str]):
@@ -193,7 +196,7 @@ def candidate_links(reps: DataFrame, need: int, block: int = BLOCK_LIST) -> Data
                 one = blk == blk.min()
                 i, j = _agreeing(sig[one], sig[~one], need, False)
                 a, b = ids[one][i], ids[~one][j]
-            links = _forest(a, b)
+            links = _stars(a, b)
             if links:
                 x, y = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -244,7 +247,7 @@ def _possible(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Da
 
 
 def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, block: int = BLOCK_GROUP) -> DataFrame:
-    """Links (a, b) of the wanted similarity, as a spanning forest of each pair of blocks; groups: (doc_id, set_digest, root)."""
+    """Links (a, b) of the wanted similarity, as stars of what is linked within each pair of blocks; groups: (doc_id, set_digest, root)."""
     dealt = _dealt(groups, "root", "doc_id", block)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -277,7 +280,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int
             if same:
                 hit = np.triu(hit, 1)
             i, j = np.nonzero(hit)
-            links = _forest(np.array(left)[i], np.array(right)[j])
+            links = _stars(np.array(left)[i], np.array(right)[j])
             if links:
                 x, y = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
