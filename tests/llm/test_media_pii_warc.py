@@ -52,6 +52,14 @@ def test_pii(spark):
     assert pii.anonymise(df.limit(0)).count() == 0
 
 
+def test_hint_misses_no_entity(spark):
+    """One text for each alternative of PATTERN, in its smallest form, and numbers in groups of two."""
+    card = "1 2 3 4 5 6 7 8 9 0 1 2 3"
+    texts = ["a@b.cd", "password=abcd", "password: 0123abcd", 'token = "0a1b2c3d"', "secret:0a1b2c3d", "AKIA" + "B" * 16, "1.2.3.4", "+1223344", "(123)456 7890", "123-456-7890", "123-45-6789", card, card.replace(" ", "-"), "12 34 56 78 90 12 3", "DE89ABCDABCDABCD", "DE89 ABCD ABCD ABCD", "0" * 32, "Mr Xy", "+49 30 12 34 56", "+33 61 23 45 67", "+1 55 12 34 56"]
+    got = pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [texts[r.doc_id] for r in got if r.n_replaced != 1 or r.text == texts[r.doc_id]] == []
+
+
 def test_permutation_is_one(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = d.select(pii._permuted(F.col("d"), "k").alias("p"))
