@@ -9,7 +9,8 @@ tokens after their labels, long hexadecimal secrets, and names after a title. Ea
   replaced as it is within a full name.
 
 Equal entities (but for case) get equal surrogates wherever they occur. Where digests could make two entities meet, all distinct entities of the table are checked:
-of those with one surrogate all but the first get another attempt, until none meet and none equals a real entity.
+of those with one surrogate all but the first get another attempt, until none meet and none equals a real entity. Later attempts have more room: a syllable more
+in a surname from the second on, and a letter more in the others after LETTERS_KEPT attempts, so that the space grows with the entities.
 
 Null texts stay null; texts without entities stay as they are, byte for byte. Repeated rows are replaced alike.
 """
@@ -55,6 +56,13 @@ SYLLABLES = {
     "latin": ["ba", "cor", "del", "fen", "gar", "hol", "jan", "kem", "lin", "mor", "nev", "par", "ros", "sal", "tor", "wen"],
     "cyrillic": ["ба", "вор", "гал", "ден", "жар", "зим", "кор", "лин", "мор", "нев", "пар", "рос", "сал", "тар", "фен", "хол"],
 }
+#: What is permuted, so that no two meet, whatever the attempt; four numbers that are no address (a password can be) are lettered.
+_ADDRESS = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
+_NUMBER = r"^(?!\d+\.\d+\.\d+\.\d+$)[+(\d][\d ().-]*$"
+#: Attempts that keep the number of letters and digits of what isn't a number or a name.
+LETTERS_KEPT = 3
+#: Syllables of a surname at first and at most.
+SHORTEST, LONGEST = 4, 10
 _FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Госпожа)\.? $"
 
 
@@ -144,7 +152,9 @@ def _named(entity: Column, before: Column, key: str, attempt: Column) -> Column:
         return F.when(before.rlike(_FEMALE), script(w, lambda s: choose(GIVEN["f", s], number(w, "given")))).otherwise(script(w, lambda s: choose(GIVEN["m", s], number(w, "given"))))
 
     def family(w):
-        return script(w, lambda s: F.initcap(F.concat(*(choose(SYLLABLES[s], F.floor(number(w, "family") / 16**k)) for k in range(4)))))
+        part = lambda s, k: choose(SYLLABLES[s], F.floor(number(w, "family") / 16**k))
+        more = lambda s: (F.when(attempt > k - SHORTEST, part(s, k)).otherwise("") for k in range(SHORTEST, LONGEST))
+        return script(w, lambda s: F.initcap(F.concat(*(part(s, k) for k in range(SHORTEST)), *more(s))))
 
     return let(F.split(entity, " "), lambda ws: F.array_join(F.transform(ws, lambda w, i: F.when(i < F.size(ws) - 1, given(w)).otherwise(family(w))), " "))
 
@@ -155,33 +165,37 @@ def surrogate(entity: Column, before: Column, key: str, attempt: Column) -> Colu
     at = F.instr(entity, "@")
     local, domain = F.substring(entity, F.lit(1), at - 1), F.substring(entity, at + 1, F.length(entity))
     stem = F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 1)
-    mail = F.concat(_lettered(local, again(F.lit("mail"), F.lower(entity))), F.lit("@"), _lettered(stem, _digest(key, F.lit("domain"), F.lower(stem))), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
-    keep = lambda n, h=False: F.concat(F.substring(entity, F.lit(1), F.lit(n)), _lettered(F.substring(entity, F.lit(n + 1), F.length(entity)), again(F.lit("secret"), F.lower(entity)), h))
+    grown = lambda part, c="a": F.when(attempt > LETTERS_KEPT, F.concat(part, F.repeat(F.lit(c), attempt - LETTERS_KEPT))).otherwise(part)
+    mail = F.concat(_lettered(grown(local), again(F.lit("mail"), F.lower(entity))), F.lit("@"), _lettered(stem, _digest(key, F.lit("domain"), F.lower(stem))), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
+    keep = lambda n, h=False, c="a": F.concat(F.substring(entity, F.lit(1), F.lit(n)), _lettered(grown(F.substring(entity, F.lit(n + 1), F.length(entity)), c), again(F.lit("secret"), F.lower(entity)), h))
     return (
         F.when(at > 0, mail)
-        .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), _address(entity, key))
-        .when(entity.rlike(r"^[+(\d][\d ().-]*$"), _numbers(entity, key))
-        .when(entity.startswith("AKIA"), keep(4))
-        .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), keep(2))
+        .when(entity.rlike(_ADDRESS), _address(entity, key))
+        .when(entity.rlike(_NUMBER), _numbers(entity, key))
+        .when(entity.startswith("AKIA"), keep(4, c="A"))
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), keep(2, c="A"))
         .when(entity.rlike(r"^[0-9a-fA-F]+$"), keep(0, True))
         .when(entity.rlike(r"^[^\d@]+$") & before.rlike(_TITLES + r"\.? $"), _named(entity, before, key, attempt))
         .otherwise(keep(0))
     )
 
 
-def collisions(docs: DataFrame, key: str, text: str = "text", rounds: int = 8) -> DataFrame:
+def collisions(docs: DataFrame, key: str, text: str = "text", most: int = 60) -> DataFrame:
     """(entity, attempt) of the entities in lower case that need another attempt: a stored table, empty as a rule."""
     # a surrogate is made of an entity alone; only names also look at the title before, and are checked under one title
     found = stored(docs.select(F.explode(entities(F.col(text))).alias("entity")).select(F.lower("entity").alias("entity")).groupBy("entity").agg(F.lit(0).alias("attempt")), "entities")
-    for _ in range(rounds):
-        made = found.select("entity", "attempt", F.lower(surrogate(F.col("entity"), F.when(F.col("entity").rlike(r"^[^\d@]+$"), "Mr. ").otherwise(""), key, F.col("attempt"))).alias("made"))
-        real = made.join(found.select(F.col("entity").alias("real")), F.col("made") == F.col("real"), "left_semi").where(~F.col("entity").rlike(r"^[+(\d][\d ().-]*$|^\d+\.\d+\.\d+\.\d+$")).select("entity")
+    fixed = F.col("entity").rlike(f"{_ADDRESS}|{_NUMBER}")  # of these, only one address written in two ways can meet, and may
+    for _ in range(most):
+        made = found.select("entity", "attempt", fixed.alias("fixed"), F.lower(surrogate(F.col("entity"), F.when(F.col("entity").rlike(r"^[^\d@]+$"), "Mr. ").otherwise(""), key, F.col("attempt"))).alias("made"))
+        real = made.where("not fixed").join(found.select(F.col("entity").alias("real")), F.col("made") == F.col("real"), "left_semi").select("entity")
         shared = made.groupBy("made").agg(F.count("*").alias("n")).where("n > 1").select("made")
-        later = made.join(shared, "made").withColumn("place", F.row_number().over(Window.partitionBy("made").orderBy("entity"))).where("place > 1").select("entity")
+        later = made.join(shared, "made").withColumn("place", F.row_number().over(Window.partitionBy("made").orderBy(F.desc("fixed"), "entity"))).where("place > 1 and not fixed").select("entity")
         again = stored(real.unionByName(later).distinct(), "again")
         if again.isEmpty():
             break
         found = stored(found.join(again.withColumn("more", F.lit(1)), "entity", "left").select("entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
+    else:
+        raise RuntimeError("surrogates did not settle")
     return found.where("attempt > 0")
 
 

@@ -60,6 +60,19 @@ def test_hint_misses_no_entity(spark):
     assert [texts[r.doc_id] for r in got if r.n_replaced != 1 or r.text == texts[r.doc_id]] == []
 
 
+def test_surrogates_grow_with_the_entities(spark, monkeypatch):
+    """More surnames, and more addresses of one letter, than have surrogates of the first length."""
+    monkeypatch.setattr(pii, "SYLLABLES", {s: x[:2] for s, x in pii.SYLLABLES.items()})  # 16 surnames of four syllables
+    names = [f"Mr. {a}{b}" for a in "BCDFGH" for b in ("ack", "ill", "unt", "elm", "orn", "ust", "ark")]
+    mails = [f"{a}@{d}.org" for d in "xyz" for a in "abcdefghijklmnopqrstuvwxyz"]
+    odd = ["password=999.1.1.1", "at 231.2.1.1", "at 1.2.3.4", "at 01.2.3.4"]
+    texts = names + mails + odd
+    got = {texts[r.doc_id]: r.text for r in pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    made = [got[t].lower() for t in names + mails]
+    assert len(set(made)) == len(made) and not set(made) & {t.lower() for t in texts}
+    assert got["password=999.1.1.1"].removeprefix("password=") != got["at 231.2.1.1"].removeprefix("at ") and got["at 1.2.3.4"] == got["at 01.2.3.4"]
+
+
 def test_permutation_is_one(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = d.select(pii._permuted(F.col("d"), "k").alias("p"))
