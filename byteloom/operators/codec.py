@@ -260,12 +260,12 @@ def decode(data: bytes) -> bytes:
     raise FormatError(f"version {version} isn't supported")
 
 
-def encoded(streams: DataFrame, version: int = 2, cycles: dict[str, list[list[int]]] | None = None) -> DataFrame:
-    """(stream_id, encoded) of rows (stream_id, payload)."""
+def encoded(streams: DataFrame, version: int = 2, cycles: dict[str, list[list[int]]] | list[list[int]] | None = None) -> DataFrame:
+    """(stream_id, encoded) of rows (stream_id, payload). cycles: by stream, or one list for all streams."""
 
     def run(frames):
         for pdf in frames:
-            pdf["encoded"] = [encode_v2_row(bytes(p)) if version == 2 else encode_v1(bytes(p), (cycles or {}).get(s, ())) for s, p in zip(pdf.stream_id, pdf.payload)]
+            pdf["encoded"] = [encode_v2_row(bytes(p)) if version == 2 else encode_v1(bytes(p), cycles if isinstance(cycles, list) else (cycles or {}).get(s, ())) for s, p in zip(pdf.stream_id, pdf.payload)]
             yield pdf[["stream_id", "encoded"]]
 
     return streams.select("stream_id", "payload").mapInPandas(run, "stream_id string, encoded binary")

@@ -134,6 +134,16 @@ def test_gaining_cycles_by_pruned_search(spark):
     assert {n for n, _ in key(graph.cycles(e, 4, gaining=True))} >= {n for n, g in key(graph.cycles(e, 4)) if g > 0}
 
 
+def test_every_stream_takes_cycles(spark, monkeypatch):
+    from byteloom.plans.queries import QUERIES
+
+    made, encoded = [], codec.encoded
+    monkeypatch.setattr(codec, "encoded", lambda *a: made.append(encoded(*a)) or made[0])
+    monkeypatch.setattr(streams, "events_by_user", lambda spark, sf: spark.range(1200 * 16).select((F.col("id") / 16).cast("int").cast("string").alias("stream_id"), (F.col("id") % 16).alias("pos"), F.when(F.col("id") % 2 == 0, 50).otherwise(100).alias("v")))
+    assert QUERIES["v1_cycle_roundtrip"](spark, "").where("equal and n = 16").count() == 1200
+    assert {bytes(r.encoded)[4] for r in made[0].collect()} == {2}  # the number of cycles in the header
+
+
 def test_snapshots(spark, tmp_path):
     s = snapshots.serialize(7, 123, "arith", [(1, 2, 11), (2, 2, 13)], [(i, i, 0.5, 0.4, 0.1, 3, 10) for i in range(1200)])
     broken = s[:-1] + bytes([s[-1] ^ 1])
