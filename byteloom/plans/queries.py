@@ -309,6 +309,48 @@ def graph_coverage(spark, sf_dir):
     return _rounded(graph.coverage(e, graph.cycles(e, 4)), "node_coverage", "edge_coverage")
 
 
+# the same over the whole transition graph of the events' bytes; recursion over it is too slow in a twin, so tests hold these against brute force. All cycles are
+# listed to four nodes, as their number grows with a power of the degree; gaining ones to eight
+
+
+def _byte_cycles(spark, sf_dir):
+    return graph.cycles(_edges(spark, sf_dir), 4)
+
+
+def _paths(df):
+    return df.withColumn("path", F.array_join(F.col("nodes").cast("array<string>"), "-"))
+
+
+@query("scc_events")
+def scc_events(spark, sf_dir):
+    return _long(graph.strong_components(_edges(spark, sf_dir)), "node", "root", "size")
+
+
+@query("cycles_events")
+def cycles_events(spark, sf_dir):
+    return _long(_paths(_byte_cycles(spark, sf_dir)).select("stream_id", "path", "len", "total_weight", "gain"), "len")
+
+
+@query("cycle_hist_events")
+def cycle_hist_events(spark, sf_dir):
+    return _long(_byte_cycles(spark, sf_dir).groupBy("stream_id", "len").agg(F.count("*").alias("n")), "len")
+
+
+@query("cycles_by_node_events")
+def cycles_by_node_events(spark, sf_dir):
+    return graph.cycles_by_node(_byte_cycles(spark, sf_dir))
+
+
+@query("top_cycles_events")
+def top_cycles_events(spark, sf_dir):
+    return _long(_paths(graph.top_cycles(graph.cycles(_edges(spark, sf_dir), 8, gaining=True))).select("stream_id", "path", "gain", "rank"), "rank")
+
+
+@query("graph_coverage_events")
+def graph_coverage_events(spark, sf_dir):
+    return _rounded(graph.coverage(_edges(spark, sf_dir), _byte_cycles(spark, sf_dir)), "node_coverage", "edge_coverage")
+
+
 _TEXT = "CASE op_id WHEN 0 THEN 'x + ' || operand WHEN 8 THEN 'x << ' || operand WHEN 9 THEN 'x >> ' || operand WHEN 10 THEN '~x' WHEN 11 THEN 'x+1' WHEN 12 THEN 'x-1' ELSE 'x' END"
 
 

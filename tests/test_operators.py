@@ -134,6 +134,53 @@ def test_gaining_cycles_by_pruned_search(spark):
     assert {n for n, _ in key(graph.cycles(e, 4, gaining=True))} >= {n for n, g in key(graph.cycles(e, 4)) if g > 0}
 
 
+def test_graph_of_event_bytes(spark, sf):
+    """Components and cycles of the whole byte graph against a search by hand."""
+    from byteloom.plans.queries import QUERIES
+
+    got = {n: QUERIES[n + "_events"](spark, sf).toPandas() for n in ("scc", "cycles", "cycle_hist", "cycles_by_node", "top_cycles", "graph_coverage")}
+    near, edges = {}, {}
+    for r in QUERIES["edges"](spark, sf).collect():
+        near.setdefault((r.stream_id, r.a), []).append(r.b)
+        edges[r.stream_id, r.a, r.b] = (r.cost, r.weight)
+    names = sorted({k[0] for k in edges})
+    reach, found = {}, {4: {}, 8: {}}
+    for s, x in {(k[0], n) for k in edges for n in k[1:]}:
+        reach[s, x], todo = {x}, [x]
+        while todo:
+            new = set(near.get((s, todo.pop()), ())) - reach[s, x]
+            reach[s, x] |= new
+            todo += new
+        walks = [[x]]
+        while walks:
+            w = walks.pop()
+            for y in near.get((s, w[-1]), ()):
+                if y == x and len(w) > 1:
+                    es = [edges[s, a, b] for a, b in zip(w, w[1:] + [x])]
+                    gain, weight = 8 * len(w) - sum(c for c, _ in es), sum(v for _, v in es)
+                    for longest in (4, 8):
+                        if len(w) <= longest and (longest == 4 or gain > 0):
+                            key = (s, frozenset(w))
+                            found[longest][key] = min(found[longest].get(key, (w, weight, gain)), (w, weight, gain))
+                elif y > x and y not in w and len(w) < 8:
+                    walks.append(w + [y])
+    text = lambda w: "-".join(map(str, w))
+    same = {k: sorted(y for y in v if k[1] in reach.get((k[0], y), ())) for k, v in reach.items()}
+    assert {(r.stream_id, r.node): (r.root, r.size) for r in got["scc"].itertuples()} == {k: (v[0], len(v)) for k, v in same.items()}
+    all_ = [(k[0], *v) for k, v in found[4].items()]
+    assert sorted((r.stream_id, r.path, r.len, r.total_weight, r.gain) for r in got["cycles"].itertuples()) == sorted((s, text(w), len(w), v, g) for s, w, v, g in all_)
+    count = lambda keys: {k: keys.count(k) for k in set(keys)}
+    assert {(r.stream_id, r.len): r.n for r in got["cycle_hist"].itertuples()} == count([(s, len(w)) for s, w, _, _ in all_])
+    assert {(r.stream_id, r.node): r.n_cycles for r in got["cycles_by_node"].itertuples()} == count([(s, x) for s, w, _, _ in all_ for x in w])
+    for s in names:
+        best = sorted((-g, len(w), w) for (t, _), (w, _, g) in found[8].items() if t == s)[:10]
+        assert [(r.path, r.gain) for r in got["top_cycles"].query("stream_id == @s").sort_values("rank").itertuples()] == [(text(w), -g) for g, _, w in best]
+        out = {a for t, a in near if t == s}
+        costs = [c for (t, _, _), (c, _) in edges.items() if t == s]
+        r = got["graph_coverage"].query("stream_id == @s").iloc[0]
+        assert (r.node_coverage, r.edge_coverage) == (round(len({x for t, w, _, _ in all_ if t == s for x in w} & out) / len(out), 6), round(sum(c < 8 for c in costs) / len(costs), 6))
+
+
 def test_every_stream_takes_cycles(spark, monkeypatch):
     from byteloom.plans.queries import QUERIES
 
