@@ -41,9 +41,9 @@ def line_features(text: str | None) -> tuple[list[list[float]], list[int]]:
         distinct = len(set(w)) / k
         again = sum(map(eq, w, w[1:])) / k
         bars = b.count(b"|") / k
-        old = line in seen
-        if len(seen) < 100_000:
-            seen.add(line)
+        h = hash(line)  # 64 bits a line, so that all lines of a document can be remembered
+        old = h in seen
+        seen.add(h)
         rows.append([upper, marks, digits, distinct, again, bars, min(n / k, 30.0), np.log1p(n), upper > 0.4, marks > 0.04, distinct < 0.4 and k > 5, old])
         sizes.append(n)
     return rows, sizes

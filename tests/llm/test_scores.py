@@ -55,3 +55,9 @@ def test_lines(spark):
     df = spark.createDataFrame([(1, good + "\n" + bad), (2, good), (3, bad)], "doc_id long, text string")
     got = {r.doc_id: r for r in quality.score(df, model, lines=True).collect()}
     assert len(got[1].lines) == 4 and got[1].lines[0] > got[1].lines[3] and got[2].score > 0.5 > got[3].score
+
+
+def test_late_lines_are_remembered():
+    lines = [f"line {i}" for i in range(100_001)]
+    rows, _ = quality.line_features("\n".join([*lines, lines[-1]]))
+    assert rows[-1][-1] and not any(r[-1] for r in rows[:-1])
