@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from byteloom.llm import crf
 from byteloom.llm.labelled import held_out, sample
 
-#: Bounds of the fitting sample: rows of label 0 and of label 1, and characters of a text.
+#: Bounds of the fitting sample: rows of label 0 and of label 1, and characters of a text. Of rows with one label and one whole text (so cut), one is fitted on.
 FIT_ROWS, FIT_CHARS = (4500, 1500), 20_000
 SPAN = 0.5
 _WORDS = re.compile(r"\w+").findall
@@ -86,7 +86,7 @@ class Cache(dict):
 
 def fit(rows: list[tuple[str, int]], least: int = 4, ratio: float = 12.0) -> Model:
     """From (text, label) rows; with one label only, or none, every score is the share of label 1."""
-    rows = list({(t[:80], y): (t, y) for t, y in rows}.values())  # near copies would count chance words many times
+    rows = list(dict.fromkeys((t, y) for t, y in rows))  # copies would count chance words many times
     toxic = sum(y for _, y in rows)
     clean = len(rows) - toxic
     if not toxic or not clean:

@@ -61,3 +61,9 @@ def test_late_lines_are_remembered():
     lines = [f"line {i}" for i in range(100_001)]
     rows, _ = quality.line_features("\n".join([*lines, lines[-1]]))
     assert rows[-1][-1] and not any(r[-1] for r in rows[:-1])
+
+
+def test_texts_of_one_header_are_all_learned_from():
+    head = "The same header of a hot source, which is longer than eighty characters in every one of its texts. "
+    rows = [(f"{head}number {i} is {w}", y) for i in range(20) for w, y in (("vile", 1), ("fine", 0))]
+    assert "vile" in str(toxicity.fit(rows).__dict__)
