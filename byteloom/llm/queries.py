@@ -41,8 +41,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_and_compare(table(spark, sf_dir, "documents"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: spark.byteloom.pii.key. Unset, the queries take one that is no secret, as the test tables hold nobody's data; the operator has no default."""
+    return spark.conf.get("spark.byteloom.pii.key", "test tables only")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
