@@ -1,16 +1,17 @@
 """Near-duplicates of word shingles (operator 7): an inverted join on signature coordinates, then exact confirmation.
 
 1. A pass over the texts gives each document's distinct shingles as 64-bit hashes, their number, a digest of the set, and a MinHash signature of K coordinates.
-   Documents with equal sets form one class; only its smallest doc_id goes on.
-2. Documents are posted under each coordinate-value pair. Two sets of the wanted similarity agree in at least M of the K coordinates but for a chance of about 1e-7.
-   So documents with fewer than M pairs that anyone shares are skipped, and of the others' shared pairs, rarest first, all but the last M - 1 suffice: any two
-   documents with M in common meet in one of those.
-3. Within each posting list signatures are compared in blocks, all against all; pairs that agree in M coordinates leave stars of links, not all pairs. Their
-   components are candidate groups: every link sought lies within one.
-4. Within candidate groups full sets are compared, again in blocks of bounded size, all against all, by exact counts. The components of the links confirmed are the result.
+   Documents with equal sets form one class, named by its smallest doc_id and the digest (so two texts under one doc_id stay two classes); only classes go on.
+2. Classes are posted under each coordinate-value pair. Two sets of the wanted similarity agree in at least M of the K coordinates but for a chance of MISS.
+   So classes with fewer than M pairs that anyone shares are skipped, and of the others' shared pairs, rarest first, all but the last M - 1 suffice: any two
+   classes with M in common meet in one of those.
+3. Each posting list's smallest class is its pivot. Collisions of every member with its pivots are counted over all coordinates; pairs with M are confirmed on full sets. So a
+   group of any number of near copies takes rows in proportion to its size.
+4. What that leaves is counted next: lists whose members aren't all linked yet. In them signatures are compared in dealt blocks; pairs of different components that agree in M
+   coordinates leave stars of candidate groups, in which full sets are compared, again in blocks, by exact counts. The components of all links confirmed are the result.
 
 No posting list or group meets in one task: blocks of lists and groups are dealt out in pairs. Documents without words, and null texts, link with nothing. Null doc_ids
-take no part. Rows that repeat a doc_id count as one document if their sets are equal.
+take no part. Of rows that repeat a doc_id, those with equal sets are one class; each row is given its own text's component.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import stored
+from byteloom.llm.common import possible, stored, unused
 from byteloom.llm.components import components
 
-#: Coordinates, their seed, sizes of blocks, and bits of the filter before texts move (bounds what is broadcast: a row for each 64).
-K, SEED, BLOCK_LIST, BLOCK_GROUP, FILTER_BITS = 48, 20, 512, 256, 1 << 23
+#: Coordinates, their seed, the accepted chance that signatures miss a pair just at the similarity, members of a block of a list, and of a group: so many at
+#: most, and about so many shingles.
+K, SEED, MISS, BLOCK_LIST, BLOCK_GROUP, BLOCK_SHINGLES = 48, 20, 1e-6, 512, 1024, 1 << 19
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
@@ -94,10 +96,14 @@ def signature(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([((h * x + y) >> np.uint64(32)).min() for x, y in zip(a, b)], np.uint32)
 
 
-def least_matches(percent: float, k: int = K, sigmas: float = 5.2) -> int:
-    """Coordinates in which two sets of this similarity agree at least, but for a chance of 1e-7."""
-    p = percent / 100
-    return max(1, math.floor(k * p - sigmas * math.sqrt(k * p * (1 - p))))
+def least_matches(percent: float, k: int = K, miss: float = MISS) -> int:
+    """The most coordinates in which two sets of this similarity agree at least, but for a chance of `miss`, by the binomial distribution's tail."""
+    p, tail = percent / 100, 0.0
+    for m in range(k):
+        tail += math.comb(k, m) * p**m * (1 - p) ** (k - m)
+        if tail > miss:
+            return max(1, m)
+    return k
 
 
 def signatures(docs: DataFrame, words: int, k: int = K, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,11 +158,11 @@ def _groups(batches, names: list[str]):
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
-        cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         bounds = [0, *cut.tolist(), batch.num_rows]
         for at, to in zip(bounds, bounds[1:]):
-            key, part = tuple(keys[:, at].tolist()), batch.slice(at, to - at)
+            key, part = tuple(k[at] for k in keys), batch.slice(at, to - at)
             if held and held[0] == key:
                 held[1].append(part)
             else:
@@ -167,51 +173,107 @@ def _groups(batches, names: list[str]):
         yield pa.Table.from_batches(held[1])
 
 
-def _dealt(members: DataFrame, group: str, node: str, block: int) -> DataFrame:
-    """Members of groups of two and more, in all pairs of blocks (lo, hi) of each group: every two members meet in one of them."""
-    sizes = stored(members.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1"), "sizes")
-    sized = members.join(sizes, group).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
-    own = sized.withColumn("blk", F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int"))
+def _dealt(members: DataFrame, group: str, block, most: float = math.inf) -> DataFrame:
+    """Members of groups of two and more, in all pairs of blocks (lo, hi) of each group: every two members meet in one of them. most: shingles that a block holds, about."""
+    sizes = stored(members.groupBy(group).agg(F.count("*").alias("__n"), F.sum("n_shingles").alias("__all")).where("__n > 1"), "sizes")
+    blocks = F.ceil(F.greatest(F.col("__n") / block, F.col("__all") / F.lit(float(most)))).cast("int")
+    sized = members.join(sizes, group).withColumn("__blocks", F.least(F.col("__n").cast("int"), blocks))
+    own = sized.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int"))
     paired = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    return paired.withColumns({"lo": F.least("blk", "__other"), "hi": F.greatest("blk", "__other")}).drop("__n", "__blocks", "__other")
+    return paired.withColumns({"lo": F.least("blk", "__other"), "hi": F.greatest("blk", "__other")}).drop("__n", "__all", "__blocks", "__other")
 
 
-def candidate_links(reps: DataFrame, need: int, block: int = BLOCK_LIST) -> DataFrame:
-    """Links (a, b) between documents of one candidate group, from rows (doc_id, sig)."""
-    posted = reps.select("doc_id", F.posexplode("sig").alias("c", "v")).select("doc_id", (F.col("c").cast("long") * (1 << 32) + F.col("v").cast("long")).alias("pair"))
+def _linked(links: list[tuple[int, int]], names: list) -> pa.RecordBatch:
+    x, y = zip(*links)
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in x], pa.binary()), pa.array([names[i] for i in y], pa.binary())], names=["a", "b"])
+
+
+def prefixes(classes: DataFrame, need: int) -> DataFrame:
+    """(pair, node, n_shingles): the postings that suffice, a stored table. pair: a coordinate and its value."""
+    posted = classes.select("node", "n_shingles", F.posexplode("sig").alias("c", "v")).select("node", "n_shingles", (F.col("c").cast("long") * (1 << 32) + F.col("v").cast("long")).alias("pair"))
     shared = stored(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "pairs")
-    kept = posted.join(shared, "pair").groupBy("doc_id").agg(F.collect_list(F.struct("n", "pair")).alias("pairs")).where(F.size("pairs") >= need)
-    prefix = stored(kept.select("doc_id", F.explode(F.slice(F.array_sort("pairs"), F.lit(1), F.size("pairs") - (need - 1))).alias("p")).select("doc_id", "p.pair"), "prefix")
-    low = reps.select("doc_id", "sig")
-    dealt = _dealt(prefix, "pair", "doc_id", block).join(low.hint("merge"), "doc_id").repartition("pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi")
+    kept = posted.join(shared, "pair").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.collect_list(F.struct("n", "pair")).alias("pairs")).where(F.size("pairs") >= need)
+    return stored(kept.select("node", "n_shingles", F.explode(F.slice(F.array_sort("pairs"), F.lit(1), F.size("pairs") - (need - 1))).alias("p")).select("p.pair", "node", "n_shingles"), "prefix")
+
+
+def pivot_pairs(prefix: DataFrame, classes: DataFrame, need: int) -> DataFrame:
+    """(a, b): members of lists and their lists' smallest class, where they agree in `need` coordinates: a stored table of at most as many rows as postings."""
+    pivots = stored(prefix.groupBy("pair").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "pivots")
+    met = stored(prefix.join(pivots, "pair").where("node != b").select(F.col("node").alias("a"), "b").distinct(), "met")
+    sig = lambda name, as_: classes.select(F.col("node").alias(name), F.col("sig").alias(as_)).hint("merge")
+    both = met.join(sig("a", "x"), "a").join(sig("b", "y"), "b")
+    agree = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
+    return stored(both.where(agree >= need).select("a", "b"), "candidates")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, h) of the nodes: their shingles' hashes as bytes, from the text of the class's smallest document; a stored table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    wanted = nodes.select("node", _doc("node").alias("doc_id"))
+
+    def sets(batches):
+        for b in batches:
+            keep, out = [], []
+            for i, (t, node) in enumerate(zip(b.column("text"), b.column("node"))):
+                h = shingles(t.as_py(), words).tobytes()
+                if xxhash.xxh3_128_digest(h) == node.as_py()[8:]:  # another text under the same doc_id isn't meant
+                    keep.append(i)
+                    out.append(h)
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["node", "h"])
+
+    some, _ = possible(texts, wanted, "doc_id")
+    found = wanted.hint("merge").join(some, "doc_id").select("node", "text").mapInArrow(sets, "node binary, h binary")
+    return stored(found.groupBy("node").agg(F.first("h").alias("h")), "sets")  # rows that repeat id and text give one set
+
+
+def _similar(batches, percent: int):
+    for t in batches:
+        keep = []
+        for i, (x, y) in enumerate(zip(t.column("x"), t.column("y"))):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([t.column(n).take(pa.array(keep, pa.int64())) for n in ("a", "b")], names=["a", "b"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the similarity."""
+    side = lambda name, as_: sets.select(F.col("node").alias(name), F.col("h").alias(as_)).hint("merge")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(lambda batches: _similar(batches, percent), "a binary, b binary")
+
+
+def candidate_links(prefix: DataFrame, classes: DataFrame, roots: DataFrame, need: int, block: int = BLOCK_LIST) -> DataFrame:
+    """Stars (a, b) of classes that different components have in common a list with and agree in `need` coordinates; roots: (node, root) of those linked already."""
+    placed = prefix.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = stored(placed.groupBy("pair").agg(F.min("root").alias("lo_root"), F.max("root").alias("hi_root")).where("lo_root != hi_root").select("pair"), "mixed")
+    left = placed.join(mixed, "pair")
+    dealt = _dealt(left, "pair", block).join(classes.select("node", "sig").hint("merge"), "node").repartition("pair", "lo", "hi").sortWithinPartitions("pair", "lo", "hi", "node")
 
     def run(batches):
         for t in _groups(batches, ["pair", "lo", "hi"]):
-            ids, blk = t.column("doc_id").to_numpy(), t.column("blk").to_numpy()
-            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            if t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
-                i, j = _agreeing(sig, sig, need, True)
-                a, b = ids[i], ids[j]
-            else:
-                one = blk == blk.min()
-                i, j = _agreeing(sig[one], sig[~one], need, False)
-                a, b = ids[one][i], ids[~one][j]
-            links = _stars(a, b)
+            names, blk = t.column("node").to_pylist(), t.column("blk").to_numpy()
+            root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
+            sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+            same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+            one = np.flatnonzero((blk == blk.min()) | same)
+            two = one if same else np.flatnonzero(blk != blk.min())
+            i, j = _agreeing(sig[one], sig[two], need, same, root[one], root[two])
+            links = _stars(one[i], two[j])
             if links:
-                x, y = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                yield _linked(links, names)
 
-    return dealt.select("pair", "lo", "hi", "blk", "doc_id", "sig").mapInArrow(run, "a long, b long")
+    return dealt.select("pair", "lo", "hi", "blk", "node", "root", "sig").mapInArrow(run, "a binary, b binary")
 
 
-def _agreeing(x: np.ndarray, y: np.ndarray, need: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of rows of x and of y that agree in `need` columns or more."""
+def _agreeing(x: np.ndarray, y: np.ndarray, need: int, same: bool, rx: np.ndarray, ry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of x and of y that agree in `need` columns or more and differ in their roots."""
     if not len(x) or not len(y):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     n = np.zeros((len(x), len(y)), np.int16)
     for k in range(x.shape[1]):
         n += x[:, k][:, None] == y[:, k][None, :]
-    hit = n >= need
+    hit = (n >= need) & (rx[:, None] != ry[None, :])
     if same:
         hit = np.triu(hit, 1)
     return np.nonzero(hit)
@@ -238,54 +300,43 @@ def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np
     return out
 
 
-def _possible(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Those of rows whose doc_id may be among the wanted: a filter of a fixed number of bits, whatever the input's size, keeps most other texts from moving."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}L) & 63 as int))")
-    words = wanted.groupBy(F.floor(at / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
-    return rows.join(F.broadcast(words), F.floor(at / 64) == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
-
-
-def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, block: int = BLOCK_GROUP) -> DataFrame:
-    """Links (a, b) of the wanted similarity, as stars of what is linked within each pair of blocks; groups: (doc_id, set_digest, root)."""
-    dealt = _dealt(groups, "root", "doc_id", block)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def sets(batches):
-        for b in batches:
-            keep, out = [], []
-            for i, (t, digest) in enumerate(zip(b.column("text"), b.column("set_digest"))):
-                h = shingles(t.as_py(), words).tobytes()
-                if xxhash.xxh3_128_digest(h) == digest.as_py():  # another text under the same doc_id isn't meant
-                    keep.append(i)
-                    out.append(h)
-            yield pa.RecordBatch.from_arrays([b.column(n).take(pa.array(keep, pa.int64())) for n in ("root", "doc_id")] + [pa.array(out, pa.binary())], names=["root", "doc_id", "h"])
-
-    with_sets = groups.hint("merge").join(_possible(texts, groups), "doc_id").select("root", "doc_id", "set_digest", "text").mapInArrow(sets, "root long, doc_id long, h binary")
-    spread = dealt.select("root", "lo", "hi", "blk", "doc_id").join(with_sets.select("doc_id", "h").hint("merge"), "doc_id").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+def group_links(groups: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_GROUP) -> DataFrame:
+    """Links (a, b) of the similarity between different components, as stars of what is linked within each pair of blocks; groups: (grp, node, root, n_shingles)."""
+    dealt = _dealt(groups, "grp", block, BLOCK_SHINGLES).select("grp", "lo", "hi", "blk", "node", "root")
+    spread = dealt.join(sets.hint("merge"), "node").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "node")
 
     def run(batches):
-        for t in _groups(batches, ["root", "lo", "hi"]):
-            rows = {d: (k, np.frombuffer(h, np.uint64)) for d, k, h in zip(t.column("doc_id").to_pylist(), t.column("blk").to_pylist(), t.column("h").to_pylist())}
-            first = min(k for k, _ in rows.values())
+        for t in _groups(batches, ["grp", "lo", "hi"]):
+            names, blk = t.column("node").to_pylist(), t.column("blk").to_numpy()
+            root = np.unique(np.array(t.column("root").to_pylist(), object), return_inverse=True)[1]
+            h = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("h").combine_chunks()]
             same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-            left = [d for d, (k, _) in rows.items() if k == first]
-            right = left if same else [d for d, (k, _) in rows.items() if k != first]
-            if not right:
+            one = np.flatnonzero((blk == blk.min()) | same)
+            two = one if same else np.flatnonzero(blk != blk.min())
+            if not len(two):
                 continue
-            both = _common([rows[d][1] for d in left], [rows[d][1] for d in right])
-            sizes = lambda ds: np.array([len(rows[d][1]) for d in ds])
-            union = sizes(left)[:, None] + sizes(right)[None, :] - both
-            hit = 100 * both >= percent * union
-            if same:
-                hit = np.triu(hit, 1)
-            i, j = np.nonzero(hit)
-            links = _stars(np.array(left)[i], np.array(right)[j])
+            both = _common([h[i] for i in one], [h[i] for i in two])
+            size = np.array([len(x) for x in h])
+            hit = (100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)) & (root[one][:, None] != root[two][None, :])
+            i, j = np.nonzero(np.triu(hit, 1) if same else hit)
+            links = _stars(one[i], two[j])
             if links:
-                x, y = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                yield _linked(links, names)
+
+    return spread.select("grp", "lo", "hi", "blk", "node", "root", "h").mapInArrow(run, "a binary, b binary")
+
+
+_TOP = -(1 << 63)
+
+
+def _node(doc_id, digest):
+    """A class's name: 24 bytes in the order of doc_id, then of the digest."""
+    return F.concat(F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(_TOP))), 16, "0")), digest)
+
 
-    return spread.select("root", "lo", "hi", "blk", "doc_id", "h").mapInArrow(run, "a long, b long")
+def _doc(node):
+    """The doc_id in a class's name."""
+    return F.conv(F.hex(F.substring(F.col(node), 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_TOP))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -293,20 +344,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     need = least_matches(percent, k)
     seen = stored(signatures(docs, words, k), "signatures")
     full = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(full.groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "classes")
-    placed = stored(full.join(classes, "set_digest").select("doc_id", "rep", "n_shingles", "set_digest", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "placed")
-    reps = placed.where("doc_id = rep").dropDuplicates(["doc_id"])
-    groups = components(candidate_links(reps.select("doc_id", "sig"), need))
-    named = stored(groups.join(reps.select("doc_id", "set_digest"), groups.node == F.col("doc_id")).select("doc_id", "set_digest", "root"), "groups")
-    linked = components(confirmed_links(docs, named, words, percent)).select(F.col("node").alias("rep"), "root")
-    found = placed.join(linked, "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    reps = stored(full.groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "reps")
+    placed = stored(full.join(reps, "set_digest").select("doc_id", "rep", "n_shingles", _node(F.col("rep"), F.col("set_digest")).alias("node"), F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "placed")
+    classes = stored(placed.where("doc_id = rep").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    prefix = prefixes(classes, need)
+    pairs = pivot_pairs(prefix, classes, need)
+    near = stored(confirmed(pairs, shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), percent), "near")
+    roots = components(near)
+    groups = components(candidate_links(prefix, classes, roots, need))
+    grouped = groups.select("node", F.col("root").alias("grp")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.select("node", "n_shingles"), "node")
+    grouped = stored(grouped.select("grp", "node", "root", "n_shingles"), "groups")
+    more = stored(group_links(grouped, shingle_sets(docs, grouped.select("node"), words), percent), "more")
+    linked = roots if more.isEmpty() else components(near.unionByName(more))
+    found = placed.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce(_doc("root"), F.col("rep")).alias("component_id"))
     alone = seen.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component that with the smallest doc_id, once if it is repeated; rows without a doc_id stay."""
+    """The rows of docs that stay: of each component that with the smallest doc_id, once if id and text are repeated; rows without a doc_id stay."""
     kept = stored(near_duplicates(docs, words, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    once = known.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    known = docs.where("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi")
+    tag = unused(docs, "tag")
+    once = known.withColumn(tag, F.xxhash64("text")).dropDuplicates(["doc_id", tag]).drop(tag)
     return once.unionByName(docs.where("doc_id is null"))

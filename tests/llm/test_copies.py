@@ -56,13 +56,46 @@ def corpus():
 
 @pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(neardup, "_dealt", lambda m, g, k, b, f=neardup._dealt: f(m, g, k, 16))  # several blocks
+    monkeypatch.setattr(neardup, "_dealt", lambda m, g, b, most=0, f=neardup._dealt: f(m, g, 16, 4000))  # several blocks
     docs = corpus()
     df = spark.createDataFrame([(d, t, 0, 0) for d, t in docs], "doc_id long, text string, sig int, root int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, n, percent).collect()}
     assert got == brute(docs, n, percent)
 
 
+def test_links_that_pivots_miss(spark, monkeypatch):
+    """Chains, in which neighbours are similar and others aren't, and a passage that many texts share: what no pivot confirms is found in blocks."""
+    monkeypatch.setattr(neardup, "_dealt", lambda m, g, b, most=0, f=neardup._dealt: f(m, g, 4, 4000))
+    rnd = random.Random(8)
+    words = [f"c{i}" for i in range(400)]
+    chain = [" ".join(words[8 * i : 8 * i + 130]) for i in range(30)]
+    passage = " ".join(f"p{i}" for i in range(100))
+    shared = [passage + " " + " ".join(f"q{rnd.randrange(10**6)}" for _ in range(rnd.choice([18, 25, 40]))) for _ in range(25)]
+    docs = list(enumerate(rnd.sample(chain + shared, 55)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert got == brute(docs, 3, 85)
+
+
+def test_one_id_with_two_texts(spark):
+    """Each of two texts under one id keeps its own links, however the table lies."""
+    base = [" ".join(f"{x}{i}" for i in range(200)) for x in "ab"]
+    docs = [(5, base[0]), (5, base[1]), (6, base[1] + " more"), (7, base[0] + " more"), (9, "alone with some words"), (-3, base[1] + " less")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, 3, 85).collect())
+        assert got == [(-3, 199, -3, True), (5, 198, -3, False), (5, 198, 5, True), (6, 199, -3, False), (7, 199, 5, False), (9, 2, 9, True)]
+
+
+def test_chance_of_a_miss():
+    import math
+
+    tail = lambda m, p: sum(math.comb(48, i) * p**i * (1 - p) ** (48 - i) for i in range(m))
+    for percent in (80, 85):
+        m = neardup.least_matches(percent)
+        assert tail(m, percent / 100) <= neardup.MISS < tail(m + 1, percent / 100)
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, "x " * 50_000), (7, None)], "doc_id long, text string")
     rows = neardup.near_duplicates(df, 3, 85).collect()
