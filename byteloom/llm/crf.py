@@ -34,7 +34,8 @@ def marginals(unary: np.ndarray, layout: Layout, trans: np.ndarray, start: float
     return _forward_backward(unary, layout, trans, start)[0]
 
 
-def _forward_backward(unary, layout, trans, start, pairs=False):
+def _forward_backward(unary, layout, trans, start, weight=None):
+    """Marginals, and the expected counts of pairs, with each sequence's weight (in the order of the layout); None without weights."""
     a = np.exp(trans - trans.max())
     e = np.empty(len(unary))
     e[layout.place] = np.clip(unary, -30, 30)
@@ -55,41 +56,51 @@ def _forward_backward(unary, layout, trans, start, pairs=False):
         bwd[base[t] : base[t] + active[t + 1]] = (a[1, 0] + a[1, 1] * w) / (a[0, 0] + a[0, 1] * w)
     one = fwd * bwd
     p = one / (one + 1 - fwd)
-    if not pairs:
+    if weight is None:
         return p[layout.place], None
     total = np.zeros((2, 2))
     for t in range(1, layout.steps):
         f = fwd[base[t - 1] : base[t - 1] + active[t]]
         w = e[base[t] : base[t + 1]] * bwd[base[t] : base[t + 1]]
         cells = np.stack([(1 - f) * a[0, 0], (1 - f) * a[0, 1] * w, f * a[1, 0], f * a[1, 1] * w])
-        total += (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        total += (cells / cells.sum(axis=0) @ weight[: active[t]]).reshape(2, 2)
     return p[layout.place], total
 
 
+class Likelihood:
+    """The conditional log-likelihood of labelled sequences, each times its weight, as a function of theta: unary weights, transitions (4), start."""
+
+    def __init__(self, lengths, labels: np.ndarray, scores, gradient, weight=None):
+        self.layout, self.labels, self.scores, self.back = Layout(lengths), labels, scores, gradient
+        lengths = np.asarray(lengths)
+        weight = np.ones(len(lengths)) if weight is None else np.asarray(weight, np.float64)
+        self.at, ends = np.repeat(weight, lengths), np.cumsum(lengths)
+        self.sorted, self.weight = weight[self.layout.order], weight
+        self.firsts = (ends - lengths)[lengths > 0]
+        inner = np.ones(len(labels), bool)
+        inner[self.firsts] = False
+        before = np.flatnonzero(inner) - 1
+        self.seen = np.zeros((2, 2))
+        np.add.at(self.seen, (labels[before], labels[before + 1]), self.at[before])
+
+    def slope(self, theta: np.ndarray) -> np.ndarray:
+        trans, start = theta[-5:-1].reshape(2, 2), theta[-1]
+        p, pairs = _forward_backward(self.scores(theta[:-5]), self.layout, trans, start, self.sorted)
+        d = (self.labels - p) * self.at
+        return np.concatenate([self.back(d), (self.seen - pairs).ravel(), [d[self.firsts].sum()]])
+
+
 def fit(lengths, labels: np.ndarray, scores, gradient, weights: np.ndarray, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-3, weight=None):
     """Maximises the conditional likelihood by Adam.
 
-    scores(w): unaries of all positions; gradient(d): what d, the derivative by unary, gives for w. weight: of each position's term.
+    scores(w): unaries of all positions; gradient(d): what d, the derivative by unary, gives for w. weight: of each sequence's likelihood.
     Returns (w, trans, start)."""
-    layout = Layout(lengths)
-    lengths = np.asarray(lengths)
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(labels), bool)
-    inner[(ends - lengths)[lengths > 0]] = False
-    before = np.flatnonzero(inner) - 1
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (labels[before], labels[before + 1]), 1)
+    likelihood = Likelihood(lengths, labels, scores, gradient, weight)
     theta = np.concatenate([weights, np.zeros(5)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     n = max(1, len(labels))
-    firsts = (ends - lengths)[lengths > 0]
     for k in range(1, rounds + 1):
-        w, trans, start = theta[:-5], theta[-5:-1].reshape(2, 2), theta[-1]
-        p, pairs = _forward_backward(scores(w), layout, trans, start, pairs=True)
-        d = labels - p
-        if weight is not None:
-            d = d * weight
-        g = np.concatenate([gradient(d), (seen - pairs).ravel(), [(labels[firsts] - p[firsts]).sum()]]) / n - ridge * theta / n
+        g = likelihood.slope(theta) / n - ridge * theta / n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return theta[:-5], theta[-5:-1].reshape(2, 2), float(theta[-1])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import stored
+from byteloom.llm.common import stored, unused
 from byteloom.llm.fingerprints import let
 
 LINES = 3
@@ -36,20 +36,30 @@ def windows(text: Column, lines: int = LINES) -> Column:
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = LINES, counts: bool = True) -> DataFrame:
-    """docs with repeated passages taken out of its text column; counts: also n_lines and n_removed."""
-    order = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
-    tagged = docs.withColumns({"__key": order, "__hash": F.xxhash64(text)})
-    found = tagged.select("__key", "__hash", F.explode(windows(F.col(text), lines)).alias("w")).select("__key", "__hash", "w.*")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("__key", "__hash", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    """docs with repeated passages taken out of its text column; counts: also n_lines and n_removed, in place of any columns of these names."""
+    at, tag, covered_ = (unused(docs, x) for x in ("key", "tag", "covered"))
+    tagged = docs.withColumns({at: F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), tag: F.xxhash64(text)})
+    found = tagged.select(F.col(at).alias("k"), F.col(tag).alias("t"), F.explode(windows(F.col(text), lines)).alias("w")).select("k", "t", "w.*")
+    first = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "t", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # rows that repeat key and text are one occurrence: such windows are dropped below, as each equals the first
-    first = stored(first.select("h1", "h2", F.col("first.__key").alias("k"), F.col("first.__hash").alias("h"), F.col("first.pos").alias("p")), "windows")
-    later = found.join(first, ["h1", "h2"]).where((F.col("__key") != F.col("k")) | (F.col("__hash") != F.col("h")) | (F.col("pos") != F.col("p")))
-    covered = later.select("__key", "__hash", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("line")).groupBy("__key", "__hash").agg(F.collect_set("line").alias("__covered"))
-    joined = tagged.join(covered, ["__key", "__hash"], "left")
+    first = stored(first.select("h1", "h2", "first"), "windows")
+    later = found.join(first, ["h1", "h2"]).where(F.struct("k", "t", "pos") != F.col("first"))
+    covered = later.select(F.col("k").alias(at), F.col("t").alias(tag), F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("line")).groupBy(at, tag).agg(F.collect_set("line").alias(covered_))
+    joined = tagged.join(covered, [at, tag], "left")
 
     def left(ls):
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__covered")), lambda i: F.get(ls, i)), "\n")
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(covered_)), lambda i: F.get(ls, i)), "\n")
 
-    cleaned = F.when(F.col("__covered").isNull(), F.col(text)).otherwise(let(F.split(F.col(text), "\n"), left))
-    out = joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns), *([F.when(F.length(text) > 0, F.size(F.split(F.col(text), "\n"))).otherwise(0).alias("n_lines"), F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).alias("n_removed")] if counts else []))
-    return out
+    cleaned = F.when(F.col(covered_).isNull(), F.col(text)).otherwise(let(F.split(F.col(text), "\n"), left))
+    numbers = [F.when(F.length(text) > 0, F.size(F.split(F.col(text), "\n"))).otherwise(0).alias("n_lines"), F.when(F.col(covered_).isNull(), 0).otherwise(F.size(covered_)).alias("n_removed")] if counts else []
+    return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))), *numbers)
+
+
+#: The same in SQL, for whole documents with distinct ids: windows are compared by their text.
+SQL = """WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, ls, unnest(range(greatest(1, len(ls) - 2))) AS p FROM d),
+x AS (SELECT doc_id, p, least(3, len(ls)) AS k, array_to_string(ls[p + 1 : p + least(3, len(ls))], chr(10)) AS j FROM w),
+y AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp FROM x WHERE regexp_replace(j, '\\s', '', 'g') <> '' WINDOW o AS (PARTITION BY j ORDER BY doc_id, p)),
+c AS (SELECT doc_id, list(DISTINCT line) AS gone FROM (SELECT doc_id, unnest(range(p, p + k)) AS line FROM y WHERE doc_id <> fd OR p <> fp) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda s, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text,
+CAST(CASE WHEN length(text) > 0 THEN len(ls) ELSE 0 END AS INTEGER) AS n_lines, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_removed FROM d LEFT JOIN c USING (doc_id)"""

@@ -1,8 +1,10 @@
 """Document quality (operator 4): a linear-chain conditional random field over lines.
 
 Each line is good or bad; its features are shares of kinds of characters and of repeated words, its length, whether the line stood before
-in its document, and the same of the lines next to it. Training gives every line its document's label. The score of a document
-is a logistic curve over the mean of the marginals of "good", weighted by the lines' lengths, and their smallest decile by length.
+in its document, and the same of the lines next to it. Only documents are labelled, so line labels are seeded: a logistic regression learns from every line under its
+document's label, and lines that it is SURE of otherwise change sides, as long as most of a document (by length) keeps its label. So transitions are learned from
+documents of mixed lines; each document counts alike within its label, as a factor of its whole likelihood. The score of a document is a logistic curve over the mean of
+the marginals of "good", weighted by the lines' lengths, and the share (by length) of lines that are rather bad.
 
 Null and empty texts have no line with content and get the curve's value for one blank line. Scores use nothing but the text.
 """
@@ -16,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from byteloom.llm import crf
 from byteloom.llm.labelled import held_out, sample
 
-#: Bounds of the fitting sample: rows of label 0 and of label 1, and characters of a text.
+#: Bounds of the fitting sample: rows of label 0 and of label 1, and characters of a text (longer ones are scored, not learned from).
 FIT_ROWS, FIT_CHARS = (2500, 2500), 20_000
+#: How sure of the other label a line's seed must be to change sides.
+SURE = 0.9
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _SYMBOLS = b"!#$%&*+/<=>@[\\]^_`{|}~"
 OWN = 12
@@ -91,6 +96,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
+def seeds(z: np.ndarray, given: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Line labels: the document's, but where the lines' own regression is sure of the other, and not for half of a document or more."""
+    w = crf.logistic(z, given, weight, ridge=0.1)
+    p = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
+    other = np.where(given == 1, 1 - p, p) > SURE
+    counts = np.diff(np.append(firsts, len(given)))
+    share = np.add.reduceat(other * sizes, firsts) / np.add.reduceat(sizes, firsts)
+    return np.where(other & np.repeat(share < 0.5, counts), 1 - given, given)
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     """From (text, label) rows; with one label only, or none, every score is the share of label 1."""
     good = sum(y for _, y in rows)
@@ -101,21 +116,21 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     x, counts, sizes = block_features(texts)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.clip((x - mean) / scale, -5, 5)
-    labels = np.repeat(y, counts)
-    # either label weighs the same, and each line as its share of its document
-    weight = np.where(labels == 1, 0.5 / good, 0.5 / (len(rows) - good)) * sizes / np.repeat(np.add.reduceat(sizes, np.cumsum(counts) - counts), counts)
-    w, trans, start = crf.fit(counts, labels, lambda w: z @ w[:-1] + w[-1], lambda d: np.append(z.T @ d, d.sum()), np.zeros(z.shape[1] + 1), rounds=150, rate=0.05, weight=weight * len(labels))
+    ends = np.cumsum(counts)
+    weight = np.where(y == 1, 0.5 / good, 0.5 / (len(rows) - good)) * len(rows) / counts  # of a document's likelihood
+    labels = seeds(z, np.repeat(y, counts), ends - counts, sizes, np.repeat(weight, counts))
+    w, trans, start = crf.fit(counts, labels, lambda w: z @ w[:-1] + w[-1], lambda d: np.append(z.T @ d, d.sum()), np.zeros(z.shape[1] + 1), rounds=150, rate=0.05, weight=weight * counts.mean())
     model = Model(mean, scale, w, trans, start, np.zeros(3))
     s, _, _ = model.signals(texts)
     model.curve = crf.logistic(s, y, np.ones(len(y)), ridge=0.1)
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), lines: bool = False, block: int = 2_000_000) -> DataFrame:
-    """The columns kept, score and, if asked for, lines: P(good) of each line."""
+def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), lines: bool = False, block: int = 2_000_000, name: str = "score") -> DataFrame:
+    """The columns kept, the score under `name` (which none of them may have) and, if asked for, lines: P(good) of each line."""
     state = docs.sparkSession.sparkContext.broadcast(model)
     keep = list(keep)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double" + ", lines array<double>" * lines
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType()), *([StructField("lines", ArrayType(DoubleType()))] if lines else [])])
 
     def run(batches):
         for b in batches:
@@ -129,7 +144,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), lines: b
                     cols = [b.column(k).slice(at, len(held)) for k in range(len(keep))] + [pa.array(state.value.scores(x))]
                     if lines:
                         cols.append(pa.array([q.tolist() for q in np.split(p, np.cumsum(n)[:-1])], pa.list_(pa.float64())))
-                    yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "lines"][: len(cols)])
+                    yield pa.RecordBatch.from_arrays(cols, names=[*keep, name, "lines"][: len(cols)])
                     held, size, at = [], 0, i + 1
 
     return docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")])).mapInArrow(run, schema)

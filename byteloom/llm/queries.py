@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_line_dedup": linededup.SQL}

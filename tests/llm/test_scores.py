@@ -1,11 +1,85 @@
 import pytest
 from pyspark.sql import functions as F
 
-from byteloom.llm import quality, toxicity
+from byteloom.llm import crf, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
 
+def _sequences():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    lengths = [4, 1, 0, 6, 2]
+    return lengths, rnd.normal(size=13), rnd.normal(size=(2, 2)), 0.7, rnd.integers(0, 2, 13), rnd.uniform(0.5, 2, 5)
+
+
+def _weighed(unary, trans, start, labels):
+    """The log weight of one labelling."""
+    return start * labels[0] + sum(u * y for u, y in zip(unary, labels)) + sum(trans[a, b] for a, b in zip(labels, labels[1:]))
+
+
+def _each(lengths, *arrays):
+    at = 0
+    for n in lengths:
+        yield tuple(a[at : at + n] for a in arrays)
+        at += n
+
+
+def test_marginals_by_enumeration():
+    import itertools
+
+    import numpy as np
+
+    lengths, unary, trans, start, _, _ = _sequences()
+    got = crf.marginals(unary, crf.Layout(lengths), trans, start)
+    for u, p in _each(lengths, unary, got):
+        total, ones = 0.0, np.zeros(len(u))
+        for ys in itertools.product((0, 1), repeat=len(u)) if len(u) else ():
+            x = np.exp(_weighed(u, trans, start, ys))
+            total, ones = total + x, ones + x * np.array(ys)
+        assert np.allclose(p, ones / total if len(u) else [])
+
+
+def test_slope_is_that_of_the_likelihood():
+    import itertools
+
+    import numpy as np
+
+    lengths, _, trans, start, labels, weight = _sequences()
+    x = np.random.default_rng(6).normal(size=(13, 3))
+    model = crf.Likelihood(lengths, labels, lambda w: x @ w, lambda d: x.T @ d, weight)
+
+    def value(theta):
+        u, total = x @ theta[:-5], 0.0
+        for (us, ys), w in zip(_each(lengths, u, labels), weight):
+            if len(us):
+                t = theta[-5:-1].reshape(2, 2)
+                norm = np.log(sum(np.exp(_weighed(us, t, theta[-1], z)) for z in itertools.product((0, 1), repeat=len(us))))
+                total += w * (_weighed(us, t, theta[-1], ys.tolist()) - norm)
+        return total
+
+    theta = np.concatenate([[0.3, -0.2, 0.5], trans.ravel(), [start]])
+    steps = np.eye(len(theta)) * 1e-5
+    numeric = np.array([(value(theta + s) - value(theta - s)) / 2e-5 for s in steps])
+    assert np.allclose(model.slope(theta), numeric, atol=1e-6)
+
+
+def test_lines_of_both_kinds_seed_transitions():
+    good, bad = "A line of words as they are written, number {}.", "XX!! YY!! {} ZZ!! XX!! YY!! ## ##"
+    rows = [("\n".join([good.format(j * i) for j in range(6)]), 1) for i in range(40)] + [("\n".join([good.format(i), good.format(i + 7)] * (i % 8 == 0) + [bad.format(i + j) for j in range(7)]), 0) for i in range(40)]
+    model = quality.fit(rows)
+    _, p, n = model.signals([rows[48][0]])
+    assert p[0] > 0.5 > p[-1] and model.trans[0, 0] + model.trans[1, 1] > model.trans[0, 1] + model.trans[1, 0]
+
+
+def found_and_marked(spark, made, label):
+    """Of the held-out rows, the share of label 1 that is predicted, and that of label 0."""
+    lab = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col(label).alias("y"))
+    r = {x.y: x.share for x in made.join(lab, "doc_id").where("held_out").groupBy("y").agg(F.avg("predicted").alias("share")).collect()}
+    return r[1], r[0]
+
+
 def held_out_accuracy(spark, made, label):
     lab = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col(label).alias("y"))
     return made.join(lab, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("y")).cast("int")), F.count("*")).first()
@@ -17,6 +91,8 @@ def test_toxicity(spark):
     assert made.count() == docs.count() and made.where("score is null or score < 0 or score > 1").count() == 0
     share, n = held_out_accuracy(spark, made, "toxic")
     assert n > 80 and share > 0.93
+    found, marked = found_and_marked(spark, made, "toxic")
+    assert found >= 0.75 and marked <= 0.02  # of 18 toxic rows here some are junk without a toxic word left
 
 
 def test_toxic_spans(spark):
@@ -34,6 +110,8 @@ def test_quality(spark):
     assert made.count() == docs.count() and made.where("score is null or score < 0 or score > 1").count() == 0
     share, n = held_out_accuracy(spark, made, "quality")
     assert n > 40 and share > 0.95
+    found, marked = found_and_marked(spark, made, "quality")
+    assert found >= 0.97 and marked <= 0.05
 
 
 @pytest.mark.parametrize("kind", ["toxicity", "quality"])
