@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from byteloom.llm import linededup, neardup, packing, pii, quality
-from byteloom.llm.common import stored, table
+from byteloom.llm.common import delete, new_path, scratch, table, unused
+from byteloom.llm.queries import pii_key
 from byteloom.session import ship
 
 #: Documents with a lower quality go.
@@ -24,7 +25,8 @@ def _columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = quality.trained(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=docs.columns).where(F.col("score") >= THRESHOLD).drop("score")
+    name = unused(docs, "score")
+    return quality.score(docs, model, keep=docs.columns, name=name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(docs, pii.anonymise(docs, count=None))
+    return _columns(docs, pii.anonymise(docs, pii_key(spark), count=None))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage is written before the next; its intermediate tables and the stage before it are deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
