@@ -1,11 +1,14 @@
 """Best-fit packing of token sequences (operator 5) by the configuration linear program over the histogram of lengths.
 
 1. A pass over the texts gives pieces (at most `capacity` tokens) with lengths and checksums; it is written to the shared folder.
-2. The histogram of lengths (at most `capacity` rows, whatever the input's size) goes to the driver. The program "cover every
-   length with full sequences" is solved there by multiplicative weights: each round prices configurations by a knapsack dynamic program over weights
-   that grow for lengths that lag behind, and gives the configurations found a share of each length's remaining number, in whole sequences. Rounds
-   shrink what remains by a constant factor, so their number grows with the logarithm of the input; the last few pieces are placed by best fit.
-3. Each piece's rank among those of its length selects its place. Ranks are counted within salted groups and shifted by the groups' totals, so no
+2. The histogram of lengths (at most `capacity` rows, whatever the input's size) goes to the driver. The program "cover every length with as few full sequences as can be" is
+   solved there by multiplicative weights: each round prices configurations by a knapsack dynamic program over weights that grow for lengths that lag behind, and gives each
+   configuration found a fraction of what remains, until a fixed small share of the pieces is left. The weights, scaled by the knapsack's optimum, are feasible for the dual
+   program, so each round also gives a lower bound on the sequences needed (`bound`, with the bounds by area and by long pieces).
+3. The fractions are rounded down. What they leave goes, the longest first, by best fit into the room of the sequences kept and into new ones, or into new ones with the least
+   slack. Rounding is tried at several thresholds, below which a configuration isn't kept at all; the highest keeps none, so the result never takes more sequences than best
+   fit decreasing of all pieces.
+4. Each piece's rank among those of its length selects its place. Ranks are counted within salted groups and shifted by the groups' totals, so no
    length, however frequent, meets in one task.
 
 A null text counts as empty: it has just the end token. Repeated rows are packed once each; among fully equal rows places are exchangeable.
@@ -14,8 +17,10 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,100 +35,178 @@ _FAR = 1 << 40
 Config = tuple[tuple[tuple[int, int], ...], int]
 
 
-def _price(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: the length to take last for the best filling of each size, 0 where the size below is as good."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _price(value: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
+    """Unbounded knapsack: the length to take last for the best filling of each size, and the size that is filled as well and last gained."""
+    best, take, same = np.zeros(capacity + 1), [0] * (capacity + 1), [0] * (capacity + 1)
     for w in range(1, capacity + 1):
         x = best[w - 1 :: -1][:w] + value[1 : w + 1]
         k = int(x.argmax())
         if x[k] > best[w - 1]:
-            best[w], take[w] = x[k], k + 1
+            best[w], take[w], same[w] = x[k], k + 1, w
         else:
-            best[w] = best[w - 1]
-    return take
+            best[w], same[w] = best[w - 1], same[w - 1]
+    return take, same
 
 
-def _filling(take: np.ndarray, room: int) -> list[int]:
-    found = []
-    while room > 0:
-        if take[room]:
-            found.append(int(take[room]))
-            room -= int(take[room])
-        else:
-            room -= 1
+def _filling(priced: tuple[list[int], list[int]], room: int) -> list[int]:
+    (take, same), found = priced, []
+    while room := same[room]:
+        found.append(take[room])
+        room -= take[room]
     return found
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, share: float = 0.3, pull: float = 0.5, few: int = 400) -> list[Config]:
-    """Configurations ((length, how many), ...) with how many sequences have each; together they hold exactly the histogram."""
-    wanted = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        if not 1 <= length <= capacity:
-            raise ValueError(f"a length of {length} doesn't fit")
-        wanted[length] = n
-    left, plan = wanted.copy(), []
-    weight, full, jitter = np.ones(capacity + 1), 1.0, np.random.default_rng(0)
-    while left.sum() > few and full > 0:
-        # weights decide; so small a noise only lets equally good configurations take turns
-        value = np.where(left > 0, np.arange(capacity + 1) * weight * (1 + 0.01 * jitter.random(capacity + 1)), -1.0)
-        take = _price(value, capacity)
-        before = left.copy()
-        turn = np.minimum(left, np.maximum(1, (share * left).astype(np.int64)))  # no length is used up ahead of the others
-        some = before > 0
-        open_lengths = np.flatnonzero(some).tolist()
-        for length in open_lengths[::-1]:  # a copy: lengths whose turn is over leave the list
-            if not turn[length]:
+def bound(histogram: dict[int, int], capacity: int = CAPACITY, weights: np.ndarray | None = None) -> int:
+    """Sequences that any packing takes at least: by area, by pieces too long to share with others, and by weights of lengths, as a dual solution of the program."""
+    n = np.zeros(capacity + 1)
+    for length, k in histogram.items():
+        n[length] = k
+    sizes = np.arange(capacity + 1)
+    found = [n @ sizes / capacity]
+    if weights is not None:
+        best = np.zeros(capacity + 1)
+        for w in range(1, capacity + 1):
+            best[w] = max(best[w - 1], (best[w - 1 :: -1][:w] + weights[1 : w + 1]).max())
+        if best[capacity] > 0:
+            found.append(n @ weights / best[capacity])
+    counts, areas = np.cumsum(n), np.cumsum(n * sizes)
+    half = capacity // 2
+    for least in range(1, half + 1):  # pieces over capacity - least take one each; of those down to `least`, what the others over half leave must hold the area
+        alone = counts[capacity] - counts[capacity - least]
+        large = counts[capacity - least] - counts[half]
+        room = large * capacity - (areas[capacity - least] - areas[half])
+        found.append(alone + large + max(0.0, (areas[half] - areas[least - 1] - room) / capacity))
+    return int(np.ceil(max(found) - 1e-6))
+
+
+def program(wanted: np.ndarray, capacity: int = CAPACITY, share: float = 0.4, pull: float = 0.5, left_over: float = 0.02, rounds: int = 24) -> tuple[dict, np.ndarray]:
+    """A fractional solution: configuration ((length, how many), ...) to sequences, and the last weights. At most left_over of the pieces aren't in it."""
+    left, sizes = wanted.astype(np.float64), np.arange(capacity + 1)
+    weight, found = np.ones(capacity + 1), {}
+    for _ in range(rounds):
+        if left.sum() <= left_over * wanted.sum():
+            break
+        value = np.where(left > 0, sizes * weight, -1.0)
+        priced, before = _price(value, capacity), left.copy()
+        turn = left * share  # no length is used up ahead of the others
+        for length in np.flatnonzero(before)[::-1].tolist():
+            if turn[length] <= 0:
                 continue
-            counts, room = {length: 1}, capacity - length
-            for x in _filling(take, room):
-                if counts.get(x, 0) < turn[x]:
-                    counts[x] = counts.get(x, 0) + 1
-                    room -= x
-            at = len(open_lengths)
-            while room and (at := bisect_right(open_lengths, room, 0, at)):  # what priced lengths no longer fill, the best fitting do
-                x = open_lengths[at - 1]
-                if counts.get(x, 0) < turn[x]:
+            counts = {length: 1}
+            for x in _filling(priced, capacity - length):
+                if turn[x] > 0:
                     counts[x] = counts.get(x, 0) + 1
-                    room -= x
-                else:
-                    at -= 1
-            if room > (1 - full) * capacity:
-                continue
-            times = int(min(turn[x] // a for x, a in counts.items()))
+            times = min(turn[x] / a for x, a in counts.items())
             for x, a in counts.items():
-                left[x] -= a * times
+                left[x] = max(0.0, left[x] - a * times)
                 turn[x] -= a * times
-                if not turn[x]:
-                    del open_lengths[bisect_left(open_lengths, x)]
-            plan.append((tuple(sorted(counts.items(), reverse=True)), times))
-        # multiplicative update: lengths that were served less than the average gain weight
-        served = (before - left) / np.maximum(before, 1)
-        weight[some] *= np.exp(pull * (served[some].mean() - served[some]))
+            config = tuple(sorted(counts.items(), reverse=True))
+            found[config] = found.get(config, 0.0) + times
+        some = before > 0
+        served = (before - left) / np.maximum(before, 1e-9)
+        weight[some] *= np.exp(pull * (served[some].mean() - served[some]))  # lengths that lag behind gain weight
         weight /= weight[some].max()
-        if (before - left).sum() < 0.05 * before.sum():
-            full = full - 0.002 if full > 0.98 else full - 0.05  # nothing as full is left to find
-    # the rest by best fit, the longest first, into the room that configurations leave as well
-    open_: list[tuple[int, int]] = []
-    bins: list[dict[int, int]] = []
-    for k, (config, times) in enumerate(plan):
-        room = capacity - sum(x * a for x, a in config)
-        if room and len(bins) < 4 * few:
-            plan[k] = (config, times - 1)
-            bins.append(dict(config))
-            insort(open_, (room, len(bins) - 1))
-    plan = [x for x in plan if x[1]]
+    return found, sizes * weight
+
+
+def _best_fit(left: np.ndarray, kept: list[Config], capacity: int) -> list[Config]:
+    """Pieces, the longest first, each into the fullest sequence that has room; sequences of one filling are treated together, so the work doesn't grow with their number."""
+    by_room: dict[int, list[tuple[Counter, int]]] = {}
+    rooms: list[int] = []
+
+    def add(filling, room, times):
+        if room not in by_room:
+            by_room[room] = []
+            insort(rooms, room)
+        by_room[room].append((filling, times))
+
+    for config, times in kept:
+        add(Counter(dict(config)), capacity - sum(x * a for x, a in config), times)
     for length in np.flatnonzero(left)[::-1].tolist():
-        for _ in range(int(left[length])):
-            at = bisect_left(open_, (length, -1))
-            if at < len(open_):
-                room, k = open_.pop(at)
+        n = int(left[length])
+        while n:
+            at = bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                filling, times = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room], rooms[at]
             else:
-                room, k = capacity, len(bins)
-                bins.append({})
-            bins[k][length] = bins[k].get(length, 0) + 1
-            if room > length:
-                insort(open_, (room - length, k))
-    return plan + [(tuple(sorted(b.items(), reverse=True)), 1) for b in bins]
+                room, filling, times = capacity, Counter(), n
+            each = room // length
+            full = min(times, n // each)
+            if full:
+                add(filling + Counter({length: each}), room - each * length, full)
+                n -= full * each
+                times -= full
+            if n and times and n < each:
+                add(filling + Counter({length: n}), room - n * length, 1)
+                n, times = 0, times - 1
+            if times and (filling or room < capacity):
+                add(filling, room, times)
+    merged: dict = {}
+    for room in rooms:
+        for filling, times in by_room[room]:
+            config = tuple(sorted(filling.items(), reverse=True))
+            merged[config] = merged.get(config, 0) + times
+    return list(merged.items())
+
+
+def _least_slack(left: np.ndarray, capacity: int) -> list[Config]:
+    """Sequences that begin with the longest piece left and are filled as far as any choice of the others can, the longer first. Each filling is repeated until it uses up
+    one of its lengths, so there are no more fillings than lengths, however many pieces."""
+    left, plan = left.copy(), []
+    for longest in np.flatnonzero(left)[::-1].tolist():
+        while left[longest]:
+            room = capacity - longest
+            have = left.copy()
+            have[longest] -= 1
+            items, reach = [], [1]
+            mask = (1 << room + 1) - 1
+            for x in np.flatnonzero(have[: room + 1])[::-1].tolist():
+                n, part = min(int(have[x]), room // x), 1
+                while n:  # 1, 2, 4, ... of them, and the rest
+                    part = min(part, n)
+                    items.append((x, part))
+                    reach.append((reach[-1] | reach[-1] << x * part) & mask)
+                    n, part = n - part, 2 * part
+                if reach[-1] >> room & 1:
+                    break
+            target, counts = reach[-1].bit_length() - 1, Counter({longest: 1})
+            for (x, part), before in zip(items[::-1], reach[-2::-1]):
+                if not before >> target & 1:
+                    counts[x] += part
+                    target -= x * part
+            times = min(int(left[x]) // a for x, a in counts.items())
+            for x, a in counts.items():
+                left[x] -= a * times
+            plan.append((tuple(sorted(counts.items(), reverse=True)), times))
+    return plan
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Config]:
+    """Configurations ((length, how many), ...) with how many sequences have each; together they hold exactly the histogram."""
+    wanted = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        if not 1 <= length <= capacity:
+            raise ValueError(f"a length of {length} doesn't fit")
+        wanted[length] = n
+    fractions, _ = program(wanted, capacity)
+    best, fewest, least = [], math.inf, bound(histogram, capacity)
+    for threshold in (1, 2, 8, math.inf):
+        kept = [(c, int(x)) for c, x in fractions.items() if x >= threshold]
+        left = wanted.copy()
+        for config, times in kept:
+            for x, a in config:
+                left[x] -= a * times
+        for fit in (_best_fit, lambda left, kept, capacity: kept + _least_slack(left, capacity)):
+            plan = fit(left, kept, capacity)
+            taken = sum(t for _, t in plan)
+            if taken < fewest:
+                best, fewest = plan, taken
+            if fewest <= least:  # none takes fewer
+                return best
+    return best
 
 
 def _intervals(plan: list[Config]) -> dict[str, np.ndarray]:
