@@ -4,19 +4,25 @@ Encoding is a streaming transducer with bounded lookahead. Whether a merge (u, v
 stands to its right only through merges of smaller rank that take a token at the right edge of v; those in turn depend on
 still smaller ranks. So the longest chain of such merges, computed once from the merge list (`sufficient_lookahead`), bounds
 how many symbols after a token's start can change it. A word is read through a window of that many symbols and a
-block more; tokens that far from the window's end are emitted and forgotten, so memory is constant however
-long a word is. Ordinary words are shorter than the window and take one step; their ids are kept in a bounded cache.
+block more; tokens that far from the window's end are emitted and forgotten, so the transducer's memory is constant however
+long a word is (a row's text and ids, 4 bytes each, are held). No merge spans words, so a word's end settles all its tokens: ordinary words are shorter than the window and take
+one step, many side by side; the ids of words to 64 characters are kept in a bounded cache, longer ones for one block of texts.
+
+Decoding pushes ids through an incremental machine from bytes to text (`Decoder`), which the query's digest of the decoded text takes piece by piece.
 
 Nulls and empty texts have no ids and decode to ''. Texts of any length, repeated rows and ties need no special case.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +60,19 @@ def sufficient_lookahead(rules: list[tuple[int, int, int]], parts: dict[int, tup
 
 
 class _Generations(dict):
-    """A cache of at most two generations of `size` entries; what is asked for again survives."""
+    """A cache of at most two generations of `size` entries of short words; what is asked for again survives. Long words are held for one block of texts only."""
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, make):
         super().__init__()
-        self.size, self.old = size, {}
+        self.size, self.make, self.old, self.long = size, make, {}, {}
 
     def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
+        value = self.long.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                return self.make(key)
+            self[key] = value
         return value
 
     def lacks(self, keys, age: bool = True) -> set:
@@ -70,7 +80,11 @@ class _Generations(dict):
         if age and len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        return keys.difference(self).difference(self.old)
+        return keys.difference(self).difference(self.old).difference(self.long)
+
+    def keep(self, found, longest: int = 64) -> None:
+        for key, value in found:
+            (self if len(key) <= longest else self.long)[key] = value
 
 
 class _PairTable:
@@ -135,12 +149,13 @@ class Bpe:
         pre = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pre).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")") if self.special else None
-        self.cache = _Generations(cache)  # of words and of what stands between white space alike
+        self.cache = _Generations(cache, lambda x: b"".join(self.words(self.find(x))))  # of words and of what stands between white space alike
         self.table, self.merged_np = _PairTable(self.rank), np.asarray(self.merged)
         self.inner_np, self.last_np = np.asarray(self.inner), np.asarray(self.last)
         self.number = [str(i) for i in range(len(self.tokens))]
         backwards = {c: b for b, c in enumerate(alphabet)}
         self.raw = [self._raw(t, backwards) for t in self.tokens]
+        self.shown = [t.encode("utf-8", "surrogatepass") for t in self.tokens]
 
     def _raw(self, token: str, backwards: dict[str, int]) -> bytes:
         if token in self.special:
@@ -153,6 +168,8 @@ class Bpe:
 
     def _merge(self, s: list[int]) -> list[int]:
         """Merges in order of rank, the leftmost first, until none applies."""
+        if len(s) > 64:
+            return self._merge_many(s)
         get, merged = self.rank.get, self.merged
         p = [get(a << _SHIFT | b, _NONE) for a, b in zip(s, s[1:])]
         while p:
@@ -168,6 +185,28 @@ class Bpe:
                 p[i - 1] = get(s[i - 1] << _SHIFT | s[i], _NONE)
         return s
 
+    def _merge_many(self, s: list[int]) -> list[int]:
+        """The same with a queue of pairs by rank and place, and links from each symbol to those beside it."""
+        get, merged, n = self.rank.get, self.merged, len(s)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        queue = [(r, i) for i in range(n - 1) if (r := get(s[i] << _SHIFT | s[i + 1], _NONE)) != _NONE]
+        heapify(queue)
+        while queue:
+            r, i = heappop(queue)
+            j = after[i]
+            if s[i] < 0 or j < 0 or get(s[i] << _SHIFT | s[j], _NONE) != r:
+                continue  # one of the two has been merged since
+            s[i], s[j] = merged[r], -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (x := get(s[i] << _SHIFT | s[k], _NONE)) != _NONE:
+                    heappush(queue, (x, i))
+            h = before[i]
+            if h >= 0 and (x := get(s[h] << _SHIFT | s[i], _NONE)) != _NONE:
+                heappush(queue, (x, h))
+        return [x for x in s if x >= 0]
+
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
         """The transducer: token ids of a word's symbols, each emitted once no later symbol can change it."""
         source, held, open_ = iter(symbols), [], True
@@ -190,20 +229,19 @@ class Bpe:
                 at += self.width[t]
             del held[:at]
 
-    def word(self, word: str) -> list[int]:
-        data = word.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        return self._merge(symbols) if len(symbols) <= self.window else list(self.stream(symbols))
+    def word(self, data: bytes) -> bytes:
+        """The ids of a word's bytes as little-endian 32-bit numbers. Its end settles all tokens, so a word within one window needs no lookahead; others are streamed."""
+        symbols = chain(map(self.inner.__getitem__, memoryview(data)[:-1]), (self.last[data[-1]],))
+        return np.fromiter(self.stream(symbols), "<u4").tobytes()
 
     def words(self, words: list[str], block: int = 2048, longest: int = 48) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit numbers. Short words are merged side by side, a row each; long ones take the transducer."""
+        """The ids of each word. Short words, of which a window holds many, are merged side by side, a row each; long ones take the transducer one by one."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(data[i]))
         while order and len(data[order[-1]]) > longest:
             i = order.pop()
-            symbols = [self.inner[x] for x in data[i][:-1]] + [self.last[data[i][-1]]]
-            out[i] = np.asarray(self._merge(symbols) if len(symbols) <= self.window else list(self.stream(symbols)), "<u4").tobytes()
+            out[i] = self.word(data[i])
         for at in range(0, len(order), block):
             rows = order[at : at + block]
             for i, x in zip(rows, self._side_by_side([data[i] for i in rows])):
@@ -258,35 +296,38 @@ class Bpe:
         text = text.lower()
         return _SPACES.split(text) if _ODD.search(text) else text.split()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Puts what the cache lacks into it."""
+    def _learn(self, chunks: set[str], more: bool = False) -> None:
+        """Puts what the cache lacks into it; more: long words of the block's other texts stay."""
+        if not more:
+            self.cache.long = {}
         new = self.cache.lacks(chunks)
         parts = {x: self.find(x) for x in new if not x.isalpha()}
         words = list(self.cache.lacks(new.difference(parts).union(*parts.values()), age=False))
-        self.cache.update(zip(words, self.words(words)))
+        self.cache.keep(zip(words, self.words(words)))
         get = self.cache.__getitem__
-        for x, ws in parts.items():
-            self.cache[x] = b"".join(map(get, ws))
+        self.cache.keep((x, b"".join(map(get, ws))) for x, ws in parts.items())
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str, more: bool = False) -> bytes:
         chunks = self._split(text)
-        self._learn(set(chunks))
+        self._learn(set(chunks), more)
         return b"".join(map(self.cache.__getitem__, chunks))
 
-    def encode_bytes(self, text: str | None) -> bytes:
+    def _has_special(self, text: str | None) -> bool:
+        return bool(text) and any(x in text for x in self.special)
+
+    def encode_bytes(self, text: str | None, more: bool = False) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if self.at_special is not None and "<|" in text:
-            return b"".join(np.asarray([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in self.at_special.split(text))
-        return self._plain(text)
+        if self._has_special(text):
+            return b"".join(np.asarray([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x, more) for x in self.at_special.split(text))
+        return self._plain(text, more)
 
     def encode_all(self, texts: Iterable[str | None], block: int = 2_000_000) -> Iterator[bytes]:
         """encode_bytes of each text, in order; new words of about `block` characters of texts are merged together."""
         held, size = [], 0
         for t in texts:
-            special = t and "<|" in t
-            held.append((t, None if special or not t else self._split(t)))
+            held.append((t, self._split(t) if t and not self._has_special(t) else None))
             size += len(t or "")
             if size >= block:
                 yield from self._flush(held)
@@ -297,29 +338,30 @@ class Bpe:
         self._learn(set().union(*(c for _, c in held if c)))
         get = self.cache.__getitem__
         for t, chunks in held:
-            yield self.encode_bytes(t) if chunks is None else b"".join(map(get, chunks))
+            yield self.encode_bytes(t, True) if chunks is None else b"".join(map(get, chunks))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    # -- decoding
-
-    def joined(self, ids: Iterable[int]) -> str:
-        """As the library decodes with no decoder set: token texts joined by blanks."""
-        return " ".join(map(self.tokens.__getitem__, ids))
-
 
 class Decoder:
-    """Incremental byte-to-text machine: holds the bytes of at most one unfinished character, and whether a word has ended."""
+    """Incremental byte-to-text machine: holds the bytes of at most one unfinished character, and whether it has begun.
 
-    def __init__(self, bpe: Bpe):
-        import codecs
+    words: the words that were encoded, a blank after each. Otherwise as the library decodes where no decoder is set: the tokens' own texts, a blank between two."""
 
-        self.bpe, self.utf8 = bpe, codecs.getincrementaldecoder("utf-8")("replace")
+    def __init__(self, bpe: Bpe, words: bool = True):
+        self.pieces, self.between, self.begun = (bpe.raw, b"", False) if words else (bpe.shown, b" ", False)
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace" if words else "surrogatepass")
 
     def push(self, ids: Iterable[int]) -> str:
-        raw = self.bpe.raw
-        return "".join(self.utf8.decode(raw[i]) for i in ids)
+        found = [self.pieces[i] for i in ids]
+        if not found:
+            return ""
+        data = self.between.join(found)
+        if self.begun:
+            data = self.between + data
+        self.begun = True
+        return self.utf8.decode(data)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)
@@ -332,14 +374,13 @@ def model(path: str) -> Bpe:
 
 
 def _digests(bpe: Bpe, data: bytes, step: int = 65536) -> tuple[int, str, str]:
-    numbers, decoded = hashlib.sha256(), hashlib.sha256()
+    """Ids, their digest, and that of the text that the incremental machine makes of them; at most `step` ids are numbers or text at a time."""
+    numbers, decoded, machine = hashlib.sha256(), hashlib.sha256(), Decoder(bpe, words=False)
     for at in range(0, len(data), 4 * step):
         ids = np.frombuffer(data[at : at + 4 * step], "<u4").tolist()
-        if at:
-            numbers.update(b" ")
-            decoded.update(b" ")
-        numbers.update(" ".join(map(bpe.number.__getitem__, ids)).encode())
-        decoded.update(bpe.joined(ids).encode())
+        numbers.update(b" " * bool(at) + " ".join(map(bpe.number.__getitem__, ids)).encode())
+        decoded.update(machine.push(ids).encode("utf-8", "surrogatepass"))
+    decoded.update(machine.finish().encode())
     return len(data) // 4, numbers.hexdigest(), decoded.hexdigest()
 
 

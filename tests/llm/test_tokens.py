@@ -29,7 +29,34 @@ def test_as_the_library(spark, sf, model, library):
     for t, got in zip(texts, model.encode_all(texts)):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert ids == list(memoryview(got).cast("I")) == model.encode(t)
-        assert model.joined(ids) == library.decode(ids, skip_special_tokens=False)
+        d = bpe.Decoder(model, words=False)
+        assert d.push(ids[:7]) + d.push(ids[7:]) + d.finish() == library.decode(ids, skip_special_tokens=False)
+
+
+def _by_rank(model, s):
+    """Merges one at a time, each time the lowest rank, the leftmost first."""
+    while True:
+        ranks = [(model.rank.get(a << bpe._SHIFT | b, bpe._NONE), i) for i, (a, b) in enumerate(zip(s, s[1:]))]
+        r, i = min(ranks, default=(bpe._NONE, 0))
+        if r == bpe._NONE:
+            return s
+        s[i : i + 2] = [model.merged[r]]
+
+
+def test_memory_is_flat():
+    """A word of 2 MB takes a window at a time; long words aren't kept, short ones at most for two generations."""
+    import tracemalloc
+
+    small = bpe.Bpe(PATH, cache=2000)
+    symbols = [small.inner[b] for b in b"abcdefghij"]
+    tracemalloc.start()
+    n = sum(1 for _ in small.stream(symbols[i % 10] for i in range(200_000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 2_000_000
+    for k in range(40):
+        assert len(list(small.encode_all([" ".join(f"w{k}x{i}" for i in range(300)) + " " + "long" * 40 + str(k)]))) == 1
+    assert len(small.cache) + len(small.cache.old) < 2 * 4000 and len(small.cache.long) <= 2 and all(len(x) <= 64 for x in small.cache)
 
 
 def test_transducer_has_enough_lookahead(model):
@@ -40,7 +67,7 @@ def test_transducer_has_enough_lookahead(model):
     for _ in range(6):
         data = [back[c] for c in "".join(rnd.choice(pieces) for _ in range(300)) if c in back]
         symbols = [model.inner[b] for b in data[:-1]] + [model.last[data[-1]]]
-        assert list(small.stream(symbols)) == small._merge(list(symbols))
+        assert list(small.stream(symbols)) == small._merge(list(symbols)) == [x for x in _by_rank(model, list(symbols))]
 
 
 def test_incremental_decoder(model):
