@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 RATE, FRAME, HOP, FRAMES_AT_ONCE = 8000, 128, 64, 8192
 #: A peak stands out over this many frames to either side, and is paired with so many peaks after it.
 AROUND, FAN_OUT, FAR = 2, 3, 255
+#: Bands of bins, first and past the last; the constant bin 0 is left out.
+BANDS = ((1, 8), (8, 24), (24, FRAME // 2 + 1))
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 SCHEMA = "array<struct<t:int,code:int>>"
 
@@ -60,21 +62,20 @@ def spectra(samples: bytes):
 
 
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (in hops) and bins of each frame's strongest bin, where it is the strongest of the frames around."""
+    """Times (in hops) and bins of peaks, by time and bin: in each band a frame's strongest bin, where it is the strongest of the band's in the frames around."""
     bins, powers = [], []
     for m in spectra(samples):
-        m = m[:, 1:]
-        b = m.argmax(axis=1)
-        bins.append(b + 1)
-        powers.append(m[np.arange(len(b)), b])
+        best = np.column_stack([low + m[:, low:high].argmax(axis=1) for low, high in BANDS])
+        bins.append(best)
+        powers.append(np.take_along_axis(m, best, 1))
     b, p = np.concatenate(bins), np.concatenate(powers)
-    padded = np.full(len(p) + 2 * AROUND, -1, p.dtype)
+    padded = np.full((len(p) + 2 * AROUND, len(BANDS)), -1, p.dtype)
     padded[AROUND:-AROUND] = p
     top = padded[: len(p)].copy()
     for k in range(1, 2 * AROUND + 1):
         np.maximum(top, padded[k : k + len(p)], out=top)
-    t = np.flatnonzero((p >= top) & (p > 0))
-    return t, b[t]
+    t, band = np.nonzero((p >= top) & (p > 0))
+    return t, b[t, band]
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -115,24 +116,33 @@ def fingerprints(media: DataFrame, key: str = "doc_id", column: str = "media") -
     return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, peaks {SCHEMA}")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Stores each text, reads the stored bytes back and returns their digests and the fingerprint's; one pass, no shuffle."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pairs"]
+def _lists(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Time-coded arrays: a list of (t, code) for each row of times and codes."""
+    ends = pa.array(np.cumsum([0, *(len(t) for t, _ in rows)]).astype(np.int32))
+    t, code = (np.concatenate([*(r[k] for r in rows), np.empty(0, np.int32)]).astype(np.int32) for k in (0, 1))
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(t), pa.array(code)], names=["t", "code"]))
+
+
+def digest(docs: DataFrame, at_once: int = 256) -> DataFrame:
+    """Stores each text, reads the stored bytes back and returns their digests, the fingerprint's, and the fingerprint itself as a time-coded array; one pass, no shuffle."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pairs", "pairs"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def one(text):
-        stored = to_wav(payload(text))
+        raw = payload(text)
+        stored = to_wav(raw)
         back = from_wav(stored)
         times, codes = fingerprint(back)
-        n = len((text or "").encode("utf-8", "surrogatepass"))
         feature = hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(times)
+        n = len((text or "").encode("utf-8", "surrogatepass"))
+        return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(times)), (times, codes)
 
     def run(batches):
-        for b in batches:
-            rows = [one(t.as_py()) for t in b.column(1)]
-            cols = zip(*rows) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, at_once):
+                b = whole.slice(at, at_once)
+                rows, found = zip(*(one(t.as_py()) for t in b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), _lists(found)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long, pairs {SCHEMA}")

@@ -22,6 +22,7 @@ def test_media(spark):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert got[2].feature == got[6].feature and got[0].media_sha256 == got[1].media_sha256
     assert media.digest(df.limit(0)).count() == 0
+    assert all([(p.t, p.code) for p in r.pairs] == list(zip(*(v.tolist() for v in media.fingerprint(media.payload(TEXTS[i]))))) for i, r in got.items())
     stored = media.store(df)
     assert all(media.from_wav(bytes(r.media)) == media.payload(TEXTS[r.doc_id]) for r in stored.collect())
     assert {r.doc_id: len(r.peaks) for r in media.fingerprints(stored).collect()}[5] == got[5].n_pairs
@@ -29,8 +30,30 @@ def test_media(spark):
 
 def test_peaks_find_tones():
     t = np.arange(64 * 200)
-    tone = (128 + 90 * np.sin(2 * np.pi * 10 / media.FRAME * t)).astype(np.uint8).tobytes()
-    assert set(media.peaks(tone)[1].tolist()) == {10}
+    tone = (128 + 50 * np.sin(2 * np.pi * 4 / media.FRAME * t) + 50 * np.sin(2 * np.pi * 30 / media.FRAME * t)).astype(np.uint8).tobytes()
+    found = media.peaks(tone)[1].tolist()
+    assert found.count(4) > 40 and found.count(30) > 40
+
+
+def test_pairs_by_brute_force(monkeypatch):
+    """Transforms by their definition, peaks and pairs by loops; in one block of frames or several."""
+    data = np.random.default_rng(2).integers(0, 256, 64 * 31, np.uint8).tobytes()
+    n, half = media.FRAME, media.FRAME // 2
+    x = np.concatenate([np.frombuffer(data, np.uint8).astype(float) - 128, np.zeros(n)])
+    w = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+    frames = [[abs(sum(x[f * media.HOP + i] * w[i] * np.exp(-2j * np.pi * k * i / n) for i in range(n))) for k in range(half + 1)] for f in range(31)]
+    found = []
+    for f in range(31):
+        for low, high in media.BANDS:
+            best = max(range(low, high), key=lambda k: frames[f][k])
+            near = [max(frames[g][low:high]) for g in range(max(0, f - media.AROUND), min(31, f + media.AROUND + 1))]
+            if frames[f][best] >= max(near) * (1 - 1e-9):
+                found.append((f, best))
+    pairs = sorted((a[0], a[1] << 15 | b[1] << 8 | b[0] - a[0]) for i, a in enumerate(found) for b in found[i + 1 : i + 1 + media.FAN_OUT] if b[0] - a[0] <= media.FAR)
+    assert pairs
+    for block in (8192, 7):
+        monkeypatch.setattr(media, "FRAMES_AT_ONCE", block)
+        assert list(zip(*(v.tolist() for v in media.fingerprint(data)))) == pairs
 
 
 def test_pii(spark):
