@@ -10,6 +10,8 @@ and null texts, have the empty sketch, which is like (1.0) only another empty on
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,34 +69,41 @@ def written(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", rows: int = 500, most: int = 20_000) -> DataFrame:
-    """Adds next_<column> of the row after, by descending key; after the last comes the first. Ties go by a hash of the text.
-
-    Rows are dealt into ranges of keys, and the first row of each range is also sent to the range before it, so that the order is never made in one task: each row
-    moves once. There are at most `most` ranges, whose first keys are all that is gathered or broadcast. Null keys come last."""
-    at = docs.where(F.col(key).isNotNull()).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
-    n = at.n or 0
-    count = max(1, min(most, -(-n // rows)))
-    if not n:
-        dealt = F.lit(0)
-    elif at.high - at.low + 1 <= 4 * n:
-        step = -(-(at.high - at.low + 1) // count)
-        dealt = F.greatest(F.lit(0), F.least(F.lit(count), F.floor((F.col(key) - F.lit(at.low)) / F.lit(step)))).cast("int")
-    else:
-        count = min(count, 1000)
-        bounds = docs.agg(F.percentile_approx(key, [i / count for i in range(1, count)] or [0.5], 10_000).alias("b")).first().b
-        dealt = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b <= F.col(key))).cast("int")
-    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(dealt)
-    heads = docs.select(F.col(key).alias("__key"), bucket.alias("__b")).groupBy("__b").agg(F.max("__key").alias("__key"))
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", rows: int = 500, most: int = 1000) -> DataFrame:
+    """Adds next_<column> of the row after, by descending key; after the last comes the first. Ties go by a hash of the first column, the largest first.
+
+    Rows are dealt into ranges of about `rows` keys, and the first row of each range is also sent to the range before it, so that the order is never made in one task: each row
+    moves once. Ranges are made in two steps, at most `most` by percentiles of all keys and at most `most` within each, so up to a million; a key that many rows repeat is dealt by
+    the hash into 1,024. The first keys of ranges are all that is gathered or broadcast. Null keys come last."""
+    keys = docs.where(F.col(key).isNotNull()).select(key)
+    wanted = -(-keys.count() // rows)
+    coarse = max(2, min(most, wanted))
+    fine = max(2, min(most, -(-wanted // coarse)))
+    cuts = keys.agg(F.percentile_approx(key, [i / coarse for i in range(1, coarse)], 10_000).alias("c")).first().c or []
+    heavy = sorted(b for b, n in Counter(cuts).items() if n > 1)
+    cuts = sorted({*cuts, *(b + 1 for b in heavy)})
+    under = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(key))).cast("int")
+    listed = F.expr(f"array({', '.join(f'{b}L' for b in cuts)})") if cuts else F.array().cast("array<bigint>")
+    many = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    tie = F.when(many, F.xxhash64(columns[0])).otherwise(F.lit(0).cast("long")) if heavy else F.lit(0).cast("long")
+    inner = keys.withColumn("__c", under(listed)).groupBy("__c").agg(F.percentile_approx(key, [i / fine for i in range(1, fine)], 1000).alias("__cuts"))
+
+    def placed(df):
+        within = F.when(many, F.shiftright("__h", 54).cast("int") + 512).otherwise(under(F.col("__cuts")))
+        dealt = df.withColumns({"__c": under(listed), "__h": tie}).join(F.broadcast(inner), "__c", "left")
+        return dealt.withColumn("__b", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("__c") * 1024 + within)).drop("__c", "__cuts")
+
+    heads = placed(docs.select(key, columns[0]) if heavy else docs.select(key)).groupBy("__b").agg(F.max(F.struct(F.col(key).alias("k"), F.col("__h").alias("h"))).alias("head"))
     by = Window.partitionBy(F.lit(0)).orderBy("__b")
-    last = F.max("__b").over(Window.partitionBy(F.lit(0)))
+    whole = Window.partitionBy(F.lit(0))
     # the range above a range sees the lower one's first row; the lowest one sees the first row of all
-    targets = heads.select("__key", F.lead("__b").over(by).alias("above"), F.min("__b").over(Window.partitionBy(F.lit(0))).alias("lowest"), (F.col("__b") == last).alias("top"))
-    targets = targets.select("__key", F.coalesce(F.col("above"), F.when(F.col("top"), F.col("lowest"))).alias("__target"))
-    own = docs.select(key, *columns).withColumn("__b", bucket)
-    sent = own.join(F.broadcast(targets), F.col(key).eqNullSafe(F.col("__key")), "left")
-    copies = sent.withColumn("__to", F.explode(F.when(F.col("__target").isNull(), F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("__target").alias("b"), F.lit(1).alias("guest"))))))
-    order = Window.partitionBy("__to.b").orderBy("__to.guest", F.col(key).desc_nulls_last(), F.xxhash64(columns[0]))
+    targets = heads.select("head", F.lead("__b").over(by).alias("above"), F.min("__b").over(whole).alias("lowest"), (F.col("__b") == F.max("__b").over(whole)).alias("top"))
+    targets = targets.select(F.col("head.k").alias("__key"), F.col("head.h").alias("__tie"), F.coalesce("above", F.when(F.col("top"), F.col("lowest"))).alias("__target"))
+    own = placed(docs.select(key, *columns))
+    sent = own.join(F.broadcast(targets), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__tie")), "left")
+    mine, guest = F.struct(F.col("__b").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("__target").alias("b"), F.lit(1).alias("guest"))
+    copies = sent.withColumn("__to", F.explode(F.when(F.col("__target").isNull(), F.array(mine)).otherwise(F.array(mine, guest))))
+    order = Window.partitionBy("__to.b").orderBy("__to.guest", F.col(key).desc_nulls_last(), F.xxhash64(columns[0]).desc())
     return copies.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("__to.guest = 0").select(key, *columns, *(f"next_{c}" for c in columns))
 
 

@@ -149,6 +149,46 @@ def test_fingerprints(spark):
     assert fingerprints.edit_and_compare(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["dense", "sparse", "repeated", "one", "nulls"])
+def test_next_over_borders_of_ranges(spark, ids):
+    """Small ranges: every row sees its successor, in the order of key and hash, and the last the first."""
+    from collections import Counter
+
+    make = {"dense": lambda i: i, "sparse": lambda i: RND.randrange(-(1 << 60), 1 << 60), "repeated": lambda i: 77 if i % 3 == 0 else i * 1000, "one": lambda i: 5, "nulls": lambda i: None if i % 50 == 0 else i % 40}[ids]
+    rows = [(make(i), f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    want = Counter((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    got = Counter((r.doc_id, r.text, r.next_text) for r in fingerprints.with_next(df, ["text"], rows=4, most=6).collect())
+    assert got == want
+
+
+def _sketch_by_hand(text, part=8, words=5):
+    """The sketch with the hash function of this engine's Python twin: shingles as tuples, compared through Spark's own hashes in the test."""
+    w = re.findall(r"[^ \t-\r]+", (text or "").lower())
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+
+def test_sketches_by_brute_force(spark):
+    """Each shingle hashed alone: a sketch holds those under the threshold and the smallest, and likenesses are those of the sets."""
+    texts = [" ".join(RND.choices("abcdefgh", k=RND.randint(0, 200))) for _ in range(12)] + ["", "one two"]
+    shingled = [_sketch_by_hand(t) for t in texts]
+    flat = sorted({s for x in shingled for s in x})
+    df = spark.createDataFrame([(list(s),) for s in flat], "w array<string>")
+    each = F.when(F.size("w") == 5, F.xxhash64(*(F.xxhash64(F.get("w", F.lit(i))) for i in range(5)))).otherwise(F.xxhash64(F.array_join(F.transform("w", lambda x: F.xxhash64(x).cast("string")), " ")))
+    h = {tuple(r.w): r.h for r in df.select("w", each.alias("h")).collect()}
+    want = []
+    for s in shingled:
+        x = {h[t] for t in s}
+        want.append(sorted({y for y in x if y < fingerprints.below()} | ({min(x)} if x else set())))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fingerprints.sketch(F.col("text")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == want
+    a, b = set(want[0]), set(want[1])
+    pair = spark.createDataFrame([(want[0], want[1])], "a array<long>, b array<long>").select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("a"), F.col("b")).alias("c")).first()
+    assert abs(pair.r - len(a & b) / len(a | b)) < 1e-12 and abs(pair.c - len(a & b) / len(a)) < 1e-12
+
+
 def test_sketch_estimates(spark):
     a = " ".join(f"w{i}" for i in range(4000))
     b = " ".join(f"w{i}" for i in range(1000))
