@@ -29,7 +29,7 @@ from byteloom.llm.components import components
 
 #: Coordinates, their seed, the accepted chance that signatures miss a pair just at the similarity, members of a block of a list, and of a group: so many at
 #: most, and about so many shingles.
-K, SEED, MISS, BLOCK_LIST, BLOCK_GROUP, BLOCK_SHINGLES = 48, 20, 1e-6, 512, 1024, 1 << 19
+K, SEED, MISS, BLOCK_LIST, BLOCK_GROUP, BLOCK_SHINGLES = 48, 20, 1e-6, 512, 256, 1 << 19
 _P = 0x9E3779B97F4A7C15
 _INV = pow(_P, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
