@@ -28,6 +28,13 @@ class FormatError(ValueError):
 # -- sizes
 
 
+def _v1_sizes(counted: DataFrame) -> DataFrame:
+    """Of rows (stream_id, n, relational)."""
+    bits = 7 * F.col("relational") + 9 * (F.col("n") - F.col("relational"))
+    size = runs.HEADER_BYTES + F.ceil(bits / 8)
+    return counted.select("stream_id", "n", F.col("relational").cast("long").alias("relational"), (F.col("n") - F.col("relational")).cast("long").alias("literals"), bits.cast("long").alias("bits"), size.cast("long").alias("encoded_bytes"), (size / F.col("n")).alias("ratio"))
+
+
 def v1_tiers(bytes_: DataFrame) -> DataFrame:
     """Per stream of the cycle container without cycles: n, relational and literal tokens, bits, encoded bytes, ratio.
 
@@ -35,10 +42,29 @@ def v1_tiers(bytes_: DataFrame) -> DataFrame:
     hit = F.col("cost") < algebra.WORTH_BELOW
     r = edges(digrams(bytes_)).groupBy("stream_id").agg(F.sum(F.when(hit, F.col("freq")).otherwise(0)).alias("relational"))
     n = bytes_.groupBy("stream_id").agg(F.count("*").alias("n"))
-    j = n.join(r, "stream_id", "left").na.fill(0, ["relational"])
-    bits = 7 * F.col("relational") + 9 * (F.col("n") - F.col("relational"))
-    size = runs.HEADER_BYTES + F.ceil(bits / 8)
-    return j.select("stream_id", "n", F.col("relational").cast("long").alias("relational"), (F.col("n") - F.col("relational")).cast("long").alias("literals"), bits.cast("long").alias("bits"), size.cast("long").alias("encoded_bytes"), (size / F.col("n")).alias("ratio"))
+    return _v1_sizes(n.join(r, "stream_id", "left").na.fill(0, ["relational"]))
+
+
+def v1_payload_tiers(payloads: DataFrame) -> DataFrame:
+    """The same of rows (stream_id, payload), one stream each: relational bytes are counted in the row, without a shuffle. Null and empty payloads have no row."""
+    import pyarrow as pa
+
+    x = np.arange(256)
+    cheap = np.zeros((256, 256), bool)
+    for op in _SMALL:
+        if op.kind.cost < algebra.WORTH_BELOW:
+            cheap[x, [op(int(v)) for v in x]] = True
+
+    def run(batches):
+        for b in batches:
+            n, hits = [], []
+            for p in b.column(1):
+                v = np.frombuffer(p.as_buffer(), np.uint8) if p.is_valid else np.empty(0, np.uint8)
+                n.append(len(v))
+                hits.append(int(cheap[v[:-1], v[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.int64())], names=["stream_id", "n", "relational"])
+
+    return _v1_sizes(payloads.select("stream_id", "payload").mapInArrow(run, "stream_id string, n long, relational long").where("n > 0"))
 
 
 def v2_tokens(bytes_: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Draws come from hashes of seeds and keys: a generation can be made again after a
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,14 +125,16 @@ def tournament(scored: DataFrame, count: int, size: int, seed: int = 0) -> DataF
 
 
 def rank_selection(scored: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """(slot, chrom_id): draws with weights 1, 2, ... from the fittest down, so the least fit are drawn most, as the format of this selection has it."""
-    order = Window.orderBy(F.desc("fitness"), "chrom_id")
-    people = scored.select("chrom_id", F.row_number().over(order).alias("w"))
-    to = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
-    spans = people.withColumn("high", F.sum("w").over(to)).withColumn("low", F.col("high") - F.col("w"))
+    """(slot, chrom_id): draws with weights 1, 2, ... from the fittest down, so the least fit are drawn most, as the format of this selection has it. The weight drawn is the
+    triangular root of the draw, so slots join their chromosome by it alone."""
+    people = scored.select("chrom_id", F.row_number().over(Window.orderBy(F.desc("fitness"), "chrom_id")).cast("long").alias("w"))
     n = people.count()
-    draws = scored.sparkSession.range(count).select(F.col("id").alias("slot"), (draw(seed, "id") * (n * (n + 1) / 2)).alias("at"))
-    return draws.join(F.broadcast(spans.limit(1 << 16)), (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("slot", "chrom_id")
+    at = F.floor(draw(seed, "id") * (n * (n + 1) / 2)).cast("long")
+    root = F.floor((F.sqrt(8.0 * F.col("at") + 1) + 1) / 2).cast("long")
+    below = lambda w: (w * (w - 1) / 2).cast("long")
+    draws = scored.sparkSession.range(count).select(F.col("id").alias("slot"), at.alias("at")).withColumn("w", root)
+    w = F.when(below(F.col("w")) > F.col("at"), F.col("w") - 1).when(below(F.col("w") + 1) <= F.col("at"), F.col("w") + 1).otherwise(F.col("w"))  # where the root was rounded
+    return draws.withColumn("w", w).join(people, "w").select("slot", "chrom_id")
 
 
 # -- variation
@@ -201,7 +204,7 @@ def report(history: DataFrame) -> DataFrame:
 
 @dataclass
 class Adaptive:
-    """Mutation rates that rise in stalls, fall while fitness grows fast, and drift back."""
+    """Mutation rates that rise in stalls, fall while fitness grows fast, and drift back. The defaults are fixed values of the method."""
 
     base_rule: float
     base_chromosome: float
@@ -240,7 +243,7 @@ def search(bytes_: DataFrame, config: Config = FAST, seed: int = 0, path: str |
     n = bytes_.count()
     if n < LEAST_CORPUS:
         raise ValueError(f"a corpus has {LEAST_CORPUS} bytes at least")
-    path = path or f"{spark.conf.get('spark.checkpoint.dir', spark.conf.get('spark.sql.warehouse.dir'))}/search-{seed}"
+    path = path or f"{spark.conf.get('spark.checkpoint.dir', spark.conf.get('spark.sql.warehouse.dir'))}/search-{seed}-{uuid.uuid4().hex}"
 
     def kept(df, name):
         df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -24,6 +24,46 @@ def digrams(bytes_: DataFrame) -> DataFrame:
     return with_next(bytes_).where(F.col("nxt").isNotNull()).groupBy("stream_id", F.col("v").alias("a"), F.col("nxt").alias("b")).agg(F.count("*").alias("freq"))
 
 
+def payload_digrams(payloads: DataFrame, per_stream: bool = True) -> DataFrame:
+    """(stream_id, a, b, freq) of rows (stream_id, payload), or (a, b, freq) of all together: pairs are counted where the row lies, so at most 65,536 counts a row or a task are
+    shuffled, and no byte. Null payloads and those of one byte have no pairs. Rows of one stream aren't joined to each other."""
+    import numpy as np
+    import pyarrow as pa
+
+    def codes(x):
+        v = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64)
+        return v[:-1] * 256 + v[1:]
+
+    def table(keys, freq, names=None):
+        cols = [pa.array(keys // 256, pa.int32()), pa.array(keys % 256, pa.int32()), pa.array(freq, pa.int64())]
+        return pa.RecordBatch.from_arrays([*([pa.array(names, pa.string())] if per_stream else []), *cols], names=["stream_id", "a", "b", "freq"][not per_stream :])
+
+    def each(batches):
+        for b in batches:
+            for name, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if x.is_valid:
+                    keys, freq = np.unique(codes(x), return_counts=True)
+                    yield table(keys, freq, [name] * len(keys))
+
+    def together(batches):
+        total, held, size = np.zeros(65536, np.int64), [], 0
+        for b in batches:
+            for x in b.column(0):
+                if x.is_valid:
+                    held.append(codes(x))
+                    size += len(held[-1])
+                if size > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=65536)
+                    held, size = [], 0
+        total += np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=65536)
+        keys = np.flatnonzero(total)
+        yield table(keys, total[keys])
+
+    if per_stream:
+        return payloads.select("stream_id", "payload").mapInArrow(each, "stream_id string, a int, b int, freq long")
+    return payloads.select("payload").mapInArrow(together, "a int, b int, freq long").groupBy("a", "b").agg(F.sum("freq").alias("freq"))
+
+
 def edges(counted: DataFrame) -> DataFrame:
     """Digrams with their cheapest operator, its cost, and the weight freq * (8 - cost)."""
     o = counted.withColumn("o", algebra.cheapest(F.col("a"), F.col("b"))).select(*counted.columns, "o.*")

@@ -160,14 +160,24 @@ for _n in _BASE:
 @query("formula_operators", "WITH t AS (SELECT 'polynomial' AS name, a, c, x, (a * x * x + c) & 255 AS y FROM (SELECT range AS a FROM range(16)), (SELECT range AS c FROM range(16)), (SELECT range AS x FROM range(256)) UNION ALL SELECT 'linear', a, c, x, (a * x + c) & 255 FROM (SELECT range AS a FROM range(1, 256, 2)), (SELECT range AS c FROM range(256)), (SELECT range AS x FROM range(256))) SELECT name, a, CAST(sum(y) AS BIGINT) AS total, CAST(sum(y * (c * 3 + x)) AS BIGINT) AS weighted FROM t GROUP BY name, a")
 def formula_operators(spark, sf_dir):
     def made(name, a, square):
-        f = F.col("a").cast("int"), F.col("c").cast("int"), F.col("x").cast("int")
-        y = ((f[0] * f[2] * f[2] if square else f[0] * f[2]) + f[1]).bitwiseAND(255)
+        y = algebra.Formula(F.col("a").cast("int"), F.col("c").cast("int"), square)(F.col("x").cast("int"))
         return a.select(F.lit(name).alias("name"), "a", F.explode(F.sequence(F.lit(0), F.lit(15 if square else 255))).alias("c")).select("name", "a", "c", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("x")).withColumn("y", y)
 
     t = made("polynomial", spark.range(16).withColumnRenamed("id", "a"), True).unionByName(made("linear", spark.range(1, 256, 2).withColumnRenamed("id", "a"), False))
     return t.groupBy("name", "a").agg(F.sum("y").cast("long").alias("total"), F.sum(F.col("y") * (F.col("c") * 3 + F.col("x"))).cast("long").alias("weighted"))
 
 
+_OP = algebra.Op
+for _name, _sql, _op in (
+    ("table_operator", "(x * 7 + 3) % 256", algebra.Table(tuple((v * 7 + 3) % 256 for v in range(256)))),
+    ("composite_operator", "(xor((x + 5) & 255, 90) << 1) & 255", algebra.Composite((_OP(0, 5), _OP(5, 90), _OP(8, 1)))),
+    ("iterated_operator", "(x * 243) & 255", algebra.iterated(_OP(2, 3), 5)),
+    ("fixed_point_operator", "x // 8", algebra.fixed_point(_OP(3, 2), 3)),
+    ("conjugate_operator", "xor((xor(x, 85) + 1) & 255, 85)", algebra.conjugate(_OP(11), _OP(5, 85))),
+):
+    query(_name, f"SELECT x, CAST({_sql} AS BIGINT) AS y FROM (SELECT range AS x FROM range(256))")(lambda s, d, op=_op: s.range(256).select(F.col("id").alias("x"), op(F.col("id").cast("int")).cast("long").alias("y")))
+
+
 _SCAN = " UNION ALL ".join(f"SELECT {k.op_id} AS op_id, k AS operand, {k.cost} AS cost, {i} * 1000 + k AS ord, x AS a, CAST({_SQL_OPS[k.name]} AS BIGINT) AS b FROM xs, (SELECT range AS k FROM range({k.operands.start if k.operands else 0}, {k.operands.stop if k.operands else 1})) ks" for i, k in enumerate([algebra.KINDS[i] for i in (10, 11, 12, 13, *range(10))]))
 
 
@@ -202,7 +212,7 @@ def q_digrams(spark, sf_dir):
 
 @query("document_digrams", f"WITH {DOCS}, {PAIRS} SELECT a, b, count(*) AS freq FROM p WHERE b IS NOT NULL GROUP BY a, b")
 def document_digrams(spark, sf_dir):
-    return _long(graph.digrams(streams.document_bytes(spark, sf_dir)).groupBy("a", "b").agg(F.sum("freq").alias("freq")), "a", "b", "freq")
+    return _long(graph.payload_digrams(streams.document_payloads(spark, sf_dir), per_stream=False), "a", "b", "freq")
 
 
 def _edges(spark, sf_dir):
@@ -214,7 +224,7 @@ query("edges", f"{EDGE_CHAIN} SELECT * FROM e")(_edges)
 
 @query("document_edges_by_operator", f"WITH {DOCS}, {PAIRS}, d AS (SELECT '' AS stream_id, a, b, count(*) AS freq FROM p WHERE b IS NOT NULL GROUP BY a, b), {EDGES} SELECT op_id, count(*) AS n_edges, CAST(sum(freq) AS BIGINT) AS pairs, CAST(sum(weight) AS DOUBLE) AS weight FROM e GROUP BY op_id")
 def document_edges_by_operator(spark, sf_dir):
-    d = graph.digrams(streams.document_bytes(spark, sf_dir)).groupBy(F.lit("").alias("stream_id"), "a", "b").agg(F.sum("freq").alias("freq"))
+    d = graph.payload_digrams(streams.document_payloads(spark, sf_dir), per_stream=False).withColumn("stream_id", F.lit(""))
     return _long(graph.edges(d).groupBy("op_id").agg(F.count("*").alias("n_edges"), F.sum("freq").alias("pairs"), F.sum("weight").alias("weight")), "op_id", "pairs")
 
 
@@ -421,10 +431,15 @@ def v2_tiers(spark, sf_dir):
 
 
 _V1 = f"WITH {{src}}, {PAIRS}, {COUNTED}, {EDGES}, n AS (SELECT stream_id, count(*) AS n FROM b GROUP BY ALL), h AS (SELECT stream_id, sum(freq) FILTER (cost < 8) AS rel FROM e GROUP BY ALL), q AS (SELECT n.stream_id, n, coalesce(rel, 0) AS r FROM n LEFT JOIN h USING (stream_id)) SELECT stream_id, n, CAST(r AS BIGINT) AS relational, CAST(n - r AS BIGINT) AS literals, CAST(9 * n - 2 * r AS BIGINT) AS bits, CAST(9 + (9 * n - 2 * r + 7) // 8 AS BIGINT) AS encoded_bytes, round((9 + (9 * n - 2 * r + 7) // 8) / n, 6) AS ratio FROM q"
-for _name, _make, _sql in (("v1_size", streams.events_by_type, EVENTS), ("v1_size_documents", streams.document_bytes, DOCS), ("v1_size_lineitem", streams.lineitem_by_supplier, LINES)):
+for _name, _make, _sql in (("v1_size", streams.events_by_type, EVENTS), ("v1_size_lineitem", streams.lineitem_by_supplier, LINES)):
     query(_name, _V1.format(src=_sql))(lambda s, d, make=_make: _rounded(codec.v1_tiers(make(s, d)), "ratio"))
 
 
+@query("v1_size_documents", _V1.format(src=DOCS))
+def v1_size_documents(spark, sf_dir):
+    return _rounded(codec.v1_payload_tiers(streams.document_payloads(spark, sf_dir)), "ratio")
+
+
 @query("v2_roundtrip", f"WITH {LEVELS} SELECT stream_id, count(*) AS n, true AS equal FROM b GROUP BY stream_id")
 def v2_roundtrip(spark, sf_dir):
     """Encoded by windows and bit packing, decoded by the row decoder, compared with the input and with the row encoder's bytes."""
@@ -532,13 +547,12 @@ def repair_rules(spark, sf_dir):
     return _long(evolve.repaired(_rules(spark)), "rule_no", "a", "b", "op_id", "operand")
 
 
-@query("crossover_aware", f"WITH {_RULES}, l AS (SELECT * FROM ru WHERE chrom_id = 'c9'), r AS (SELECT * FROM ru WHERE chrom_id = 'c13') SELECT l.a, l.b, CAST(CASE WHEN (CASE WHEN l.op_id >= 10 THEN 5 ELSE 13 END) <= (CASE WHEN r.op_id >= 10 THEN 5 ELSE 13 END) THEN l.op_id ELSE r.op_id END AS BIGINT) AS op_id FROM l JOIN r ON l.a = r.a AND l.b = r.b")
+@query("crossover_aware", f"WITH {_RULES} SELECT a, b, CAST(op_id AS BIGINT) AS op_id FROM ru WHERE chrom_id = 'c9'")
 def crossover_aware(spark, sf_dir):
-    """The pairs that both parents have; single-parent rules are drawn, and tested for their share."""
-    r = _rules(spark)
-    left, right = (r.where(F.col("chrom_id") == c).withColumn("chrom_id", F.lit("k")) for c in ("c9", "c13"))
-    shared = left.select("a", "b").intersect(right.select("a", "b"))
-    return _long(evolve.crossed(left, right).join(shared, ["a", "b"]).select("a", "b", "op_id"), "a", "b", "op_id")
+    """Parents of the same pairs, one of additions alone: each shared pair takes the cheaper operator, the first parent's among equals (its additions, as the other's)."""
+    right = _rules(spark).where("chrom_id = 'c9'").withColumn("chrom_id", F.lit("k"))
+    left = right.withColumns({"op_id": F.lit(0), "operand": (F.col("b") - F.col("a")).bitwiseAND(255)})
+    return _long(evolve.crossed(left, right).select("a", "b", "op_id"), "a", "b", "op_id")
 
 
 _HISTORY = "hi AS (SELECT range AS generation, floor(range / 7) % 40 / 100.0 + range / 100000.0 AS best_fitness FROM range(600))"
@@ -576,9 +590,56 @@ def adaptive_replay(spark, sf_dir):
     return _rounded(spark.createDataFrame([(g + 1, control.tick(0.0)[0]) for g in range(200)], "generation long, rule_probability double"), "rule_probability")
 
 
+@query("adaptive_damping", "WITH RECURSIVE a(g, p, s) AS (SELECT 0::BIGINT, 0.05::DOUBLE, 0 UNION ALL SELECT g + 1, (CASE WHEN s = 9 THEN greatest(0.005, p * 0.9) ELSE p END) + (0.05 - (CASE WHEN s = 9 THEN greatest(0.005, p * 0.9) ELSE p END)) * 0.005, CASE WHEN s = 9 THEN 0 ELSE s + 1 END FROM a WHERE g < 200) SELECT g AS generation, round(p, 6) AS rule_probability FROM a WHERE g > 0")
+def adaptive_damping(spark, sf_dir):
+    """200 generations of fast growth."""
+    control = evolve.Adaptive(0.05, 0.02)
+    return _rounded(spark.createDataFrame([(g + 1, control.tick(0.01)[0]) for g in range(200)], "generation long, rule_probability double"), "rule_probability")
+
+
 # -- snapshots
 
 
+def _by_hand() -> bytes:
+    """A snapshot laid out byte by byte after the format: a tag of seven bytes in four characters, two cycles, two rules, one generation."""
+    from zlib import crc32
+
+    cycles = "0002" "02" "0102" "0b0c" "4000000000000000" "4018000000000000" "01" "07" "0d" "3ff0000000000000" "4008000000000000"
+    rules = "00000002" "01020b00" "02020d00"
+    history = "00000001" "0000000000000005" "0000000000000009" "3fe0000000000000" "3fd0000000000000" "3fc0000000000000" "00000003" "0000000000000400" "0000000000000000"
+    table, at = "0003", 29 + 7 + 2 + 27
+    for kind, section in (("03", cycles), ("04", rules), ("05", history)):
+        table += f"{kind}{at:08x}{len(section) // 2:08x}"
+        at += len(section) // 2
+    rest = bytes.fromhex("c3a9e282ac7461" + table + cycles + rules + history)
+    return bytes.fromhex("4d524332" "0200" "0b" "0000000000000007" "0000000000000001") + crc32(rest).to_bytes(4, "big") + b"\x00\x07" + rest
+
+
+def _hand_rows(spark) -> DataFrame:
+    return spark.createDataFrame([("h", _by_hand())], "id string, content binary")
+
+
+@query("snapshot_by_hand", "SELECT 'h' AS id, 2::BIGINT AS major, 7::BIGINT AS generation, 'é€ta' AS tag, true AS crc_ok")
+def snapshot_by_hand(spark, sf_dir):
+    return snapshots.manifests(_hand_rows(spark)).select("id", "major", "generation", "tag", "crc_ok")
+
+
+@query("snapshot_cycles", "SELECT * FROM (VALUES ('h', 0::BIGINT, '1-2', '11-12', 2.0::DOUBLE, 6.0::DOUBLE), ('h', 1, '7', '13', 1.0, 3.0)) t(id, cycle_no, nodes, op_ids, total_weight, gain)")
+def snapshot_cycles(spark, sf_dir):
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "-").alias(c)
+    return snapshots.cycles(_hand_rows(spark)).select("id", F.col("cycle_no").cast("long").alias("cycle_no"), joined("nodes"), joined("op_ids"), "total_weight", "gain")
+
+
+@query("snapshot_history", "SELECT 'h' AS id, 5::BIGINT AS generation, 9::BIGINT AS ts_ms, 0.5::DOUBLE AS best_fitness, 0.25::DOUBLE AS avg_fitness, 0.125::DOUBLE AS variance, 3::BIGINT AS unique_operators, 1024::BIGINT AS corpus_bytes")
+def snapshot_history(spark, sf_dir):
+    return _long(snapshots.history(_hand_rows(spark)), "unique_operators")
+
+
+@query("snapshot_rules", "SELECT * FROM (VALUES ('h', 0::BIGINT, 1::BIGINT, 2::BIGINT, 11::BIGINT), ('h', 1, 2, 2, 13)) t(id, rule_no, a, b, op_id)")
+def snapshot_rules(spark, sf_dir):
+    return _long(snapshots.chromosomes(_hand_rows(spark)).select("id", "rule_no", "a", "b", "op_id"), "rule_no", "a", "b", "op_id")
+
+
 @query("snapshot_ids", "SELECT doc_id, sha256(text) AS id, source AS domain FROM documents")
 def snapshot_ids(spark, sf_dir):
     return streams.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("id"), F.col("source").alias("domain"))

@@ -72,6 +72,11 @@ def document_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(table(spark, sf_dir, "documents"), F.col("doc_id"), F.encode("text", "UTF-8"))
 
 
+def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream_id, payload) of documents, for what can be counted within a row."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), F.encode("text", "UTF-8").alias("payload"))
+
+
 def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(table(spark, sf_dir, "pages"), F.col("page_id"), F.encode("html", "UTF-8"))
 

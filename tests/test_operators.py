@@ -208,6 +208,36 @@ def test_snapshots(spark, tmp_path):
         snapshots.load(spark, root, "0" * 64)
 
 
+def test_snapshot_sections(spark):
+    cycles = [([1, 2, 3], [11, 11, 0], 2.5, 6.0), ([9, 8], [12, 11], 1.0, 3.0)]
+    past = [(i, 10 * i, 0.5, 0.25, 0.125, 3, 1024) for i in range(1500)]
+    s = snapshots.serialize(3, 9, "é€tag", [(1, 2, 11)], past, cycles)
+    t = snapshots.loaded(spark.createDataFrame([("a", s), ("b", snapshots.serialize(0, 0))], "id string, content binary"))
+    assert {(r.id, r.major, r.tag, r.crc_ok) for r in t["manifest"].collect()} == {("a", 2, "é€tag", True), ("b", 2, "", True)}
+    assert [(r.nodes, r.op_ids, r.total_weight, r.gain) for r in t["cycles"].orderBy("cycle_no").collect()] == [tuple(c) for c in cycles]
+    assert [tuple(r)[1:] for r in t["history"].orderBy("generation").collect()] == past[-1000:] and t["chromosome"].count() == 1
+
+
+def test_payload_counts_are_those_of_bytes(spark):
+    rows = spark.createDataFrame([("x", b"abcabc\xff\x00"), ("y", b"a"), ("z", b""), ("n", None), ("w", bytes(range(256)) * 5)], "stream_id string, payload binary")
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    exploded = streams.exploded(rows, F.col("stream_id"), F.col("payload"))
+    want = graph.digrams(exploded)
+    assert rows_of(graph.payload_digrams(rows)) == rows_of(want)
+    assert rows_of(graph.payload_digrams(rows, per_stream=False)) == rows_of(want.groupBy("a", "b").agg(F.sum("freq").alias("freq")))
+    assert rows_of(codec.v1_payload_tiers(rows)) == rows_of(codec.v1_tiers(exploded))
+    assert graph.payload_digrams(rows.limit(0), per_stream=False).count() == 0
+
+
+def test_rank_selection_by_brute_force(spark):
+    s = spark.createDataFrame([(f"c{i:03d}", i / 10) for i in range(37)], "chrom_id string, fitness double")
+    n, order = 37, [f"c{i:03d}" for i in range(36, -1, -1)]
+    spans = [name for k, name in enumerate(order) for _ in range(k + 1)]
+    draws = spark.range(500).select("id", F.floor(evolve.draw(4, "id") * (n * (n + 1) / 2)).alias("at")).collect()
+    got = {r.slot: r.chrom_id for r in evolve.rank_selection(s, 500, 4).collect()}
+    assert got == {r.id: spans[r["at"]] for r in draws}
+
+
 def test_search_runs(spark, tmp_path):
     b = streams.seed(spark, 512)
     seen = []
