@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from byteloom.functions import algebra
 from byteloom.operators import runs
-from byteloom.operators.graph import digrams, edges, with_next
+from byteloom.operators.graph import CHUNK, digrams, edges, with_next
 
 PREFIX = bytes([0x4D, 0x52, 0x43])
 V3_CONNECTED, V3_STANDALONE, V3_HEADER = 0, 1, 41
@@ -78,14 +78,35 @@ def v2_tokens(bytes_: DataFrame) -> DataFrame:
     length = F.least(F.lit(runs.LONGEST), F.col("len") - F.col("k") * runs.LONGEST)
     value = (F.col("v0") + F.col("k") * runs.LONGEST * F.col("st")).bitwiseAND(255)
     run = chunks.select("stream_id", start.alias("pos"), F.lit("ARITH_RUN").alias("tier"), F.lit(33).alias("nbits"), (F.lit(1 << 32) + value * (1 << 24) + F.col("idx") * (1 << 16) + length).cast("long").alias("value"))
-    # bytes outside of runs: +1 where a run starts, -1 after it ends, summed along the stream
-    marks = found.select("stream_id", F.col("start").alias("pos"), F.lit(1).alias("d")).unionByName(found.select("stream_id", (F.col("start") + F.col("len")).alias("pos"), F.lit(-1).alias("d"))).groupBy("stream_id", "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("stream_id").orderBy("pos")
-    free = bytes_.join(marks, ["stream_id", "pos"], "left").withColumn("in_run", F.sum(F.coalesce("d", F.lit(0))).over(w)).where("in_run = 0")
+    # bytes outside of runs: +1 where a run starts, -1 after it ends, in each chunk that it crosses, summed along the chunk
+    last = F.col("start") + F.col("len")
+    crossed = found.select("stream_id", "start", last.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((last - 1) / CHUNK))).alias("c"))
+    opens = crossed.select("stream_id", "c", F.greatest(F.col("start"), F.col("c") * CHUNK).alias("pos"), F.lit(None).cast("int").alias("v"), F.lit(1).alias("d"))
+    closes = crossed.where(F.col("end") < (F.col("c") + 1) * CHUNK).select("stream_id", "c", F.col("end").alias("pos"), F.lit(None).cast("int").alias("v"), F.lit(-1).alias("d"))
+    cut = bytes_.select("stream_id", F.floor(F.col("pos") / CHUNK).alias("c"), "pos", "v", F.lit(0).alias("d"))
+    w = Window.partitionBy("stream_id", "c").orderBy("pos")  # rows of one position count together
+    free = cut.unionByName(opens).unionByName(closes).withColumn("in_run", F.sum("d").over(w)).where("in_run = 0 and v is not null")
     literal = free.select("stream_id", "pos", F.lit("LITERAL").alias("tier"), F.lit(9).alias("nbits"), F.col("v").cast("long").alias("value"))
     return run.unionByName(literal)
 
 
+def offsets(tokens: DataFrame) -> DataFrame:
+    """Adds the bit at which each token starts in its stream's body: the tokens' bits before it, by chunks of positions and the chunks' totals."""
+    cut = tokens.withColumn("c", F.floor(F.col("pos") / CHUNK))
+    order = Window.partitionBy("stream_id").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    spine = cut.groupBy("stream_id", "c").agg(F.sum("nbits").alias("bits")).select("stream_id", "c", F.coalesce(F.sum("bits").over(order), F.lit(0)).alias("shift"))
+    within = Window.partitionBy("stream_id", "c").orderBy("pos")
+    return cut.withColumn("at", F.sum("nbits").over(within) - F.col("nbits")).join(spine, ["stream_id", "c"]).withColumn("bit_offset", F.col("at") + F.col("shift")).drop("c", "at", "shift")
+
+
+def summary(sizes: DataFrame) -> DataFrame:
+    """(stream_id, original_bits, compressed_bits, ratio, saving, line) of rows (stream_id, n, encoded_bytes); an empty stream has no ratio."""
+    bits, to = F.col("n") * 8, F.col("encoded_bytes") * 8
+    ratio = to / F.nullif(bits, F.lit(0)).cast("double")
+    r = sizes.select("stream_id", bits.cast("long").alias("original_bits"), to.cast("long").alias("compressed_bits"), ratio.alias("ratio"), (1 - ratio).alias("saving"))
+    return r.withColumn("line", F.format_string("%s: %d -> %d bits, ratio %.4f, saving %.2f%%", "stream_id", "original_bits", "compressed_bits", "ratio", F.col("saving") * 100))
+
+
 def packed(tokens: DataFrame) -> DataFrame:
     """(stream_id, body): tokens in order of pos as bits, the highest first, filled up with zeros to whole bytes."""
     items = F.array_sort(F.collect_list(F.struct("pos", "nbits", "value")))
@@ -334,6 +355,54 @@ def read_v3(data: bytes, mode: int | None = None) -> tuple[int, str, bytes | Non
     return data[4], data[5:37].hex(), inner, decode(data[at : at + n])
 
 
+def wrapped(streams: DataFrame, snapshot_id: str, snapshot: bytes | None = None, store: str | None = None) -> DataFrame:
+    """(stream_id, encoded) of rows (stream_id, payload): run-length containers that name a snapshot, or embed it where its bytes are given. store: a folder of snapshots
+    that must hold the named one, or an error is raised before anything is encoded."""
+    if store is not None:
+        from byteloom.sources.snapshots import SnapshotError, exists
+
+        if not exists(streams.sparkSession, store, snapshot_id):
+            raise SnapshotError(f"no snapshot {snapshot_id}")
+
+    def run(frames):
+        for pdf in frames:
+            pdf["encoded"] = [wrap_v3(encode_v2_row(bytes(p)), snapshot_id, snapshot) for p in pdf.payload]
+            yield pdf[["stream_id", "encoded"]]
+
+    return streams.select("stream_id", "payload").mapInPandas(run, "stream_id string, encoded binary")
+
+
+def unwrapped(rows: DataFrame, mode: int | None = None) -> DataFrame:
+    """(stream_id, mode, snapshot_id, snapshot, payload) of rows (stream_id, encoded); a container of another mode than the one asked for is an error."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame([(i, *read_v3(bytes(e), mode)) for i, e in zip(pdf.stream_id, pdf.encoded)], columns=["stream_id", "mode", "snapshot_id", "snapshot", "payload"])
+
+    return rows.select("stream_id", "encoded").mapInPandas(run, "stream_id string, mode int, snapshot_id string, snapshot binary, payload binary")
+
+
+#: The bounds of the ratio of the cycle container for generated streams (kind, bytes, step, frequency).
+BASELINE = {("uniform", 4096): 1.02, ("lcg", 4096): 0.85, ("gaussian", 4096): 0.75, ("arithmetic", 1024): 0.30, ("sine", 1024): 0.50}
+
+
+def baseline(spark) -> DataFrame:
+    """(stream_id, n, ratio, bound, within, equal): generated streams through the cycle container and back, and whether the ratio keeps its bound."""
+    from functools import reduce
+
+    from byteloom.sources.streams import collected, generated
+
+    raw = collected(reduce(lambda x, y: x.unionByName(y), (generated(spark, kind, n) for kind, n in BASELINE)))
+    coded = encoded(raw, 1)
+    back = decoded(coded).withColumnRenamed("payload", "back")
+    bounds = spark.createDataFrame([(kind, b) for (kind, _), b in BASELINE.items()], "stream_id string, bound double")
+    r = raw.join(coded, "stream_id").join(back, "stream_id").join(bounds, "stream_id")
+    ratio = F.octet_length("encoded") / F.octet_length("payload")
+    return r.select("stream_id", F.octet_length("payload").cast("long").alias("n"), ratio.alias("ratio"), "bound", (ratio <= F.col("bound")).alias("within"), (F.col("payload") == F.col("back")).alias("equal"))
+
+
 def v3_headers(rows: DataFrame, column: str = "encoded") -> DataFrame:
     """stream_id, mode, snapshot_id and body length read from wrapped containers, by built-in functions."""
     c = F.col(column)

@@ -19,6 +19,13 @@ def with_next(bytes_: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return dealt.withColumn("nxt", F.lead("v").over(w)).where(F.col("c") == own).drop("c")
 
 
+def with_neighbours(bytes_: DataFrame, before: int, after: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows by chunk c: a chunk's own (`own`), and with them the last `before` of the chunk before and the first `after` of the next, for windows by (stream_id, c)."""
+    c, at = F.floor(F.col("pos") / chunk), F.col("pos") % chunk
+    to = F.array_compact(F.array(c, F.when(at >= chunk - before, c + 1), F.when((at < after) & (c > 0), c - 1)))
+    return bytes_.withColumn("c", F.explode(to)).withColumn("own", F.col("c") == c)
+
+
 def digrams(bytes_: DataFrame) -> DataFrame:
     """(stream_id, a, b, freq)."""
     return with_next(bytes_).where(F.col("nxt").isNotNull()).groupBy("stream_id", F.col("v").alias("a"), F.col("nxt").alias("b")).agg(F.count("*").alias("freq"))

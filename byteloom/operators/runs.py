@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from byteloom.functions.algebra import BREAK_EVEN, LITERAL_TOKEN_BITS, RUN_TOKEN_BITS
-from byteloom.operators.graph import with_next
+from byteloom.operators.graph import CHUNK, with_neighbours, with_next
 
 LONGEST, MOST_STEPS, HEADER_BYTES = 65535, 255, 9
 
@@ -20,26 +20,34 @@ def steps(bytes_: DataFrame) -> DataFrame:
     return with_next(bytes_).where(F.col("nxt").isNotNull()).select("stream_id", "pos", "v", (F.col("nxt") - F.col("v")).bitwiseAND(255).alias("st"))
 
 
-def islands(bytes_: DataFrame) -> DataFrame:
+def islands(bytes_: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(stream_id, isl, st, p0, m, v0): maximal stretches of m equal steps from byte p0, numbered from 1.
 
-    Only the stretches' first steps are kept for the numbering, so what a stream's window holds shrinks with its runs."""
-    s = with_next(steps(bytes_).select("stream_id", "pos", F.col("st").alias("v"), F.col("v").alias("byte")))
-    # the step before, by shifting the pairs (step, next step) one place
-    first = s.select("stream_id", (F.col("pos") + 1).alias("pos"), F.col("nxt").alias("st"), (F.col("v") != F.col("nxt")).alias("new")).where("st is not null")
-    starts = first.where("new").select("stream_id", "pos", "st").unionByName(s.where("pos = 0").select("stream_id", "pos", F.col("v").alias("st")))
-    ends = s.groupBy("stream_id").agg((F.max("pos") + 1).alias("end"))
-    w = Window.partitionBy("stream_id").orderBy("pos")
-    held = starts.join(ends, "stream_id").withColumn("m", F.coalesce(F.lead("pos").over(w), F.col("end")) - F.col("pos")).withColumn("isl", F.row_number().over(w).cast("long"))
-    firsts = s.select("stream_id", "pos", F.col("byte").alias("v0"))
-    return held.join(firsts, ["stream_id", "pos"]).select("stream_id", "isl", "st", F.col("pos").alias("p0"), F.col("m").cast("long").alias("m"), "v0")
-
-
-def detected(isl: DataFrame) -> DataFrame:
+    Each byte moves once, with its chunk; from there on only stretches' first bytes and streams' last ones go on. They are numbered by parts of positions, and the parts'
+    counts and first positions added up, so a single long stream is spread over tasks."""
+    w = Window.partitionBy("stream_id", "c").orderBy("pos")
+    near = with_neighbours(bytes_, 1, 1, chunk).withColumns({"st": (F.lead("v").over(w) - F.col("v")).bitwiseAND(255), "was": (F.col("v") - F.lag("v").over(w)).bitwiseAND(255)})
+    marks = near.where(F.col("own") & (F.col("st").isNull() | (F.col("pos") == 0) | (F.col("st") != F.col("was")))).select("stream_id", F.col("c").alias("part"), "pos", "st", F.col("v").alias("v0"))
+    parts = marks.groupBy("stream_id", "part").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
+    order = Window.partitionBy("stream_id").orderBy("part")
+    spine = parts.select("stream_id", "part", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"), F.lead("at").over(order).alias("beyond"))
+    within = Window.partitionBy("stream_id", "part").orderBy("pos")
+    held = marks.withColumns({"to": F.lead("pos").over(within), "isl": F.row_number().over(within)}).where("st is not null").join(spine, ["stream_id", "part"])
+    return held.select("stream_id", (F.col("isl") + F.col("shift")).cast("long").alias("isl"), "st", F.col("pos").alias("p0"), (F.coalesce("to", "beyond") - F.col("pos")).cast("long").alias("m"), "v0")
+
+
+def _last(isl: DataFrame, value: Column, chunk: int) -> DataFrame:
+    """Adds `last`: the greatest value of the islands before, null if there is none. Values rise with isl, so the greatest is the latest; parts of islands carry theirs on."""
+    cut = isl.withColumns({"part": F.floor(F.col("isl") / chunk), "mark": value})
+    order = Window.partitionBy("stream_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spine = cut.groupBy("stream_id", "part").agg(F.max("mark").alias("most")).select("stream_id", "part", F.max("most").over(order).alias("carried"))
+    within = Window.partitionBy("stream_id", "part").orderBy("isl").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("own", F.max("mark").over(within)).join(spine, ["stream_id", "part"]).withColumn("last", F.coalesce("own", "carried")).drop("part", "mark", "own", "carried")
+
+
+def detected(isl: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Runs of four bytes and more as a sequential scan finds them: (stream_id, st, start, len)."""
-    before = Window.partitionBy("stream_id").orderBy("isl").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("m") >= 2, F.col("isl"))).over(before)
-    odd = isl.withColumn("last", last).withColumn("sw", F.when(F.col("last").isNull(), (F.col("isl") - 1) % 2).otherwise(1 - (F.col("isl") - 1 - F.col("last")) % 2))
+    odd = _last(isl, F.when(F.col("m") >= 2, F.col("isl")), chunk).withColumn("sw", F.when(F.col("last").isNull(), (F.col("isl") - 1) % 2).otherwise(1 - (F.col("isl") - 1 - F.col("last")) % 2))
     return odd.where(F.col("m") - F.col("sw") + 1 >= BREAK_EVEN).select("stream_id", "st", (F.col("p0") + F.col("sw")).alias("start"), (F.col("m") - F.col("sw") + 1).alias("len"))
 
 
@@ -64,14 +72,13 @@ def label(step: Column) -> Column:
     return F.when(step == 0, "repeat(0)").when(s == 1, "seq(+1)").when(s == -1, "seq(-1)").otherwise(F.format_string("arith(%+d)", s))
 
 
-def parsed(isl: DataFrame, table: DataFrame) -> DataFrame:
+def parsed(isl: DataFrame, table: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Runs as the container's greedy parse takes them, for the steps of a table (stream_id, st): (stream_id, st, start, len, v0)."""
     known = table.select("stream_id", "st").withColumn("known", F.lit(True))
     e = isl.join(known, ["stream_id", "st"], "left")
     kind = F.when(F.col("known") & (F.col("m") >= 4), 1).when(F.col("known") & (F.col("m") == 3), 2).otherwise(0)
-    before = Window.partitionBy("stream_id").orderBy("isl").rowsBetween(Window.unboundedPreceding, -1)
     # islands of three known steps take turns from the last other one on; that one's taking a byte too many is its being long
-    e = e.withColumn("kind", kind).withColumn("last", F.max(F.when(F.col("kind") != 2, F.struct("isl", "kind"))).over(before))
+    e = _last(e.withColumn("kind", kind), F.when(F.col("kind") != 2, F.struct("isl", "kind")), chunk)
     turns = (F.col("isl") - 1 - F.coalesce(F.col("last.isl"), F.lit(0))) % 2
     taken = F.coalesce(F.col("last.kind"), F.lit(0))
     e = e.withColumn("c", F.when(turns == 0, taken).otherwise(1 - taken))

@@ -285,3 +285,34 @@ def test_sources(spark, tmp_path):
     for kind in ("uniform", "gaussian", "lcg", "arithmetic", "sine"):
         r = streams.generated(spark, kind, 500).agg(F.min("v"), F.max("v"), F.count("*")).first()
         assert 0 <= r[0] <= r[1] <= 255 and r[2] == 500
+
+
+def test_borders_of_chunks_change_nothing(spark, monkeypatch):
+    from byteloom.operators import profiles
+
+    b = table_of(spark, STREAMS)
+    whole = {}
+    for chunk in (1 << 16, 16, 9):
+        isl = runs.islands(b, chunk)
+        found = runs.detected(isl, chunk)
+        table = runs.step_table(runs.patterns(found))
+        monkeypatch.setattr(profiles, "CHUNK", chunk)
+        monkeypatch.setattr(codec, "CHUNK", chunk)
+        made = [isl, found, runs.parsed(isl, table, chunk), profiles.fingerprints(b), codec.offsets(codec.v2_tokens(b))]
+        got = [sorted(map(repr, df.collect())) for df in made]
+        assert whole.setdefault("first", got) == got
+
+
+def test_bit_offsets_follow_on_each_other(spark):
+    for name, rows in _by_stream(codec.offsets(codec.v2_tokens(table_of(spark, STREAMS)))).items():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.pos):
+            assert r.bit_offset == at, name
+            at += r.nbits
+
+
+def _by_stream(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.stream_id, []).append(r)
+    return out
