@@ -331,3 +331,18 @@ def clusters(count: int) -> list[tuple[int, int]]:
     if not 1 <= count <= 256:
         raise ValueError("1 to 256 clusters")
     return [(v, 0) for v in range(256)]
+
+
+def clustered(v: Column, centroid: Column, radius: Column) -> Column:
+    """Whether a value lies within a cluster's radius."""
+    return F.abs(v - centroid) <= radius
+
+
+def arity(op) -> str:
+    """UNARY, or BINARY for operators that can take the value before as well."""
+    return "BINARY" if getattr(op, "op_id", None) == BY_NAME["DeltaOfDelta"].op_id else "UNARY"
+
+
+def second_delta(before: Column, value: Column, after: Column) -> Column:
+    """The change of steps over three values, modulo 256."""
+    return ((after - value) - (value - before)).bitwiseAND(255)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from threading import Event, Thread
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,6 +114,19 @@ def elite(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("fitness"), "chrom_id").limit(k)
 
 
+def elite_then(scored: DataFrame, count: int, k: int, size: int, seed: int = 0) -> DataFrame:
+    """(slot, chrom_id): the k fittest (at most as many as are asked for, or there are), and tournaments for the slots that are left."""
+    first = elite(scored, min(k, count)).select(F.lit(1).alias("of"), F.struct(-F.col("fitness"), "chrom_id").alias("key"), "chrom_id")
+    first = first.select((F.row_number().over(Window.partitionBy("of").orderBy("key")) - 1).cast("long").alias("slot"), "chrom_id")
+    drawn = tournament(scored, count, size, seed).join(first.select("slot"), "slot", "left_anti")
+    return first.unionByName(drawn)
+
+
+def dominating(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows of left whose fitness is strictly higher than that of right's row of the same key."""
+    return left.join(right.select(on, F.col("fitness").alias("other_fitness")), on).where(F.col("fitness") > F.col("other_fitness")).drop("other_fitness")
+
+
 def tournament(scored: DataFrame, count: int, size: int, seed: int = 0) -> DataFrame:
     """(slot, chrom_id): of `size` draws from the population the fittest, the first of equals."""
     spark = scored.sparkSession
@@ -163,17 +177,23 @@ def crossed(left: DataFrame, right: DataFrame, kind: str = "OPERATOR_AWARE", see
     return numbered(rows.withColumn("r", F.row_number().over(one)).where("r = 1").drop("r", "rule_no")).select("chrom_id", "rule_no", "a", "b", "op_id", "operand")
 
 
-def mutated(rules: DataFrame, rule_probability: float, most_rules: int, seed: int = 0) -> DataFrame:
-    """Rules replaced by random ones, added, and (half as often, never all) removed; then cut to the most allowed."""
-    a, b = (F.floor(draw(seed, "chrom_id", "rule_no", F.lit(x)) * 256).cast("int") for x in "ab")
+def mutated(rules: DataFrame, rule_probability: float, most_rules: int, seed: int = 0, chromosome_probability: float | None = None) -> DataFrame:
+    """Three independent changes, then the cut to the most rules allowed. Each rule takes, with the rule probability, the cheapest operator of its pair; a chromosome below the
+    most rules gains a random new pair with the chromosome probability (by default the rule probability); one of more than one rule loses one with half the rule probability."""
+    adding = rule_probability if chromosome_probability is None else chromosome_probability
+    best = algebra.cheapest(F.col("a"), F.col("b"))
     swap = draw(seed, "chrom_id", "rule_no", F.lit("swap")) < rule_probability
-    drop = (draw(seed, "chrom_id", "rule_no", F.lit("drop")) < rule_probability / 2) & (F.col("rule_no") > 0)
-    changed = rules.withColumns({"swap": swap, "na": a, "nb": b}).where(~drop)
-    changed = changed.withColumn("o", F.when(F.col("swap"), algebra.cheapest(F.col("na"), F.col("nb")))).select("chrom_id", F.when(F.col("swap"), F.col("na")).otherwise(F.col("a")).alias("a"), F.when(F.col("swap"), F.col("nb")).otherwise(F.col("b")).alias("b"), F.coalesce("o.op_id", "op_id").alias("op_id"), F.coalesce("o.operand", "operand").alias("operand"))
-    new = rules.select("chrom_id").distinct().where(draw(seed, "chrom_id", F.lit("add")) < rule_probability)
-    new = new.select("chrom_id", *(F.floor(draw(seed, "chrom_id", F.lit(f"new{x}")) * 256).cast("int").alias(x) for x in "ab")).withColumn("o", algebra.cheapest(F.col("a"), F.col("b"))).select("chrom_id", "a", "b", "o.op_id", "o.operand")
-    one = changed.unionByName(new).groupBy("chrom_id", "a", "b").agg(F.min(F.struct("op_id", "operand")).alias("o")).select("chrom_id", "a", "b", "o.*")
-    return numbered(one).where(F.col("rule_no") < most_rules).select("chrom_id", "rule_no", "a", "b", "op_id", "operand")
+    kept = rules.withColumn("o", F.when(swap, best)).select("chrom_id", "rule_no", "a", "b", F.coalesce("o.op_id", "op_id").alias("op_id"), F.coalesce("o.operand", "operand").alias("operand"))
+    sizes = rules.groupBy("chrom_id").agg(F.count("*").alias("n"))
+    new = sizes.where((draw(seed, "chrom_id", F.lit("add")) < adding) & (F.col("n") < most_rules))
+    new = new.select("chrom_id", F.lit(None).cast("int").alias("rule_no"), *(F.floor(draw(seed, "chrom_id", F.lit(f"new{x}")) * 256).cast("int").alias(x) for x in "ab")).withColumn("o", best).select("chrom_id", "rule_no", "a", "b", "o.op_id", "o.operand")
+    new = new.join(rules.select("chrom_id", "a", "b"), ["chrom_id", "a", "b"], "left_anti").select(*kept.columns)
+    # the added rule stands last, and may be the one that goes
+    w = Window.partitionBy("chrom_id")
+    both = kept.unionByName(new).withColumns({"at": F.row_number().over(w.orderBy(F.col("rule_no").asc_nulls_last())) - 1, "n": F.count("*").over(w)})
+    gone = (draw(seed, "chrom_id", F.lit("drop")) < rule_probability / 2) & (F.col("n") > 1) & (F.col("at") == F.floor(draw(seed, "chrom_id", F.lit("which")) * F.col("n")))
+    left = both.where(~gone).withColumn("rule_no", (F.row_number().over(w.orderBy("at")) - 1).cast("int"))
+    return left.where(F.col("rule_no") < most_rules).select("chrom_id", "rule_no", "a", "b", "op_id", "operand")
 
 
 # -- history
@@ -202,6 +222,55 @@ def report(history: DataFrame) -> DataFrame:
     return history.agg(F.count("*").alias("generations"), F.min_by("best_fitness", "generation").alias("start_fitness"), F.max_by("best_fitness", "generation").alias("end_fitness"), F.max("best_fitness").alias("peak_fitness"), F.min_by("generation", F.struct(-F.col("best_fitness"), F.col("generation"))).alias("peak_generation"))
 
 
+#: The marks of a sparkline, lowest first, and the parts of a run that it shows.
+MARKS, PARTS = "▁▂▃▄▅▆▇█", 20
+
+
+def sparkline(history: DataFrame) -> DataFrame:
+    """One row (line, least, most): the best fitness of every n-th generation, n being a twentieth of the run, as marks between the least and the most; nothing for no rows."""
+    ends = history.agg(F.count("*").alias("n"), F.min("best_fitness").alias("least"), F.max("best_fitness").alias("most")).withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / PARTS)))
+    rows = history.select(F.lit(1).alias("run"), "generation", "best_fitness").withColumn("i", F.row_number().over(Window.partitionBy("run").orderBy("generation")) - 1)
+    span = F.col("most") - F.col("least")
+    level = F.when(span < 1e-9, 3).otherwise(F.least(F.lit(len(MARKS) - 1), ((F.col("best_fitness") - F.col("least")) / span * (len(MARKS) - 1)).cast("int")))
+    shown = rows.join(F.broadcast(ends), F.col("i") % F.col("step") == 0).withColumn("mark", F.substring(F.lit(MARKS), level + 1, F.lit(1)))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "mark"))), lambda x: x["mark"]), "")
+    return shown.agg(line.alias("line"), F.first("least").alias("least"), F.first("most").alias("most")).where("least is not null")
+
+
+#: The columns of a generation log and their forms.
+LOG = {"generation": "%d", "timestamp_ms": "%d", "elapsed_ms": "%d", "best_fitness": "%.6f", "avg_fitness": "%.6f", "variance": "%.6f", "population_size": "%d", "unique_operators": "%d", "rule_count": "%d", "corpus_bytes": "%d", "convergence_rate": "%.6f"}
+
+
+def log_lines(history: DataFrame) -> DataFrame:
+    """(generation, csv, json): the lines of a generation log; columns that a history hasn't count as 0."""
+    whole = lambda n, f: F.coalesce(F.col(n), F.lit(0)).cast("long" if f == "%d" else "double") if n in history.columns else F.lit(0 if f == "%d" else 0.0).cast("long" if f == "%d" else "double")
+    values = [whole(n, f) for n, f in LOG.items()]
+    json = "{" + ",".join(f'"{n}":{f}' for n, f in LOG.items()) + "}"
+    return history.select("generation", F.format_string(",".join(LOG.values()), *values).alias("csv"), F.format_string(json, *values).alias("json"))
+
+
+def report_text(history: DataFrame, control: Adaptive | None = None, domain: str = "", seconds: float = 0.0) -> str:
+    """The report of a run: fitness, population, rates, sparkline and histogram. A history has a row a generation; only aggregates of it come to the driver."""
+    r, out = report(history).first(), ["RUN REPORT", f"  Domain             : {domain or '(none)'}", f"  Elapsed            : {seconds:.3f}s"]
+    out += [f"  Total generations  : {r.generations}"]
+    if not r.generations:
+        return "\n".join([*out, "  No generations recorded."])
+    last = history.orderBy(F.desc("generation")).first().asDict()
+    rate = convergence(history).orderBy(F.desc("generation")).first().convergence_rate
+    out += [f"  Gen/sec            : {r.generations / seconds:.1f}"] if seconds > 0 else []
+    out += [f"  Initial best       : {r.start_fitness:.6f}", f"  Final best         : {r.end_fitness:.6f}", f"  Peak best          : {r.peak_fitness:.6f}  (gen {r.peak_generation})", f"  Net improvement    : {r.end_fitness - r.start_fitness:+.6f}"]
+    out += [f"  {label:<19}: {last[name]}" for label, name in (("Final avg fitness", "avg_fitness"), ("Final variance", "variance"), ("Final pop size", "population_size"), ("Unique operators", "unique_operators")) if name in last]
+    out += [f"  Converged?         : {'YES' if converged(history).first().converged else 'no'}", f"  Convergence rate   : {rate:.8f}"]
+    if control:
+        out += [f"  Stall boosts       : {control.raised}", f"  Improve dampens    : {control.lowered}", f"  Final rule rate    : {control.rule:.6f}", f"  Final chrom rate   : {control.chromosome:.6f}"]
+    if r.generations > 1:
+        s = sparkline(history).first()
+        out += [f"  {s.line}", f"  Range: [{s.least:.4f} .. {s.most:.4f}]"]
+    bins = {x.bin: x.n for x in fitness_histogram(history).collect()}  # ten rows
+    out += [f"  [{i / 10:.1f}-{(i + 1) / 10:.1f}) {bins.get(i, 0)}" for i in range(10)]
+    return "\n".join(out)
+
+
 @dataclass
 class Adaptive:
     """Mutation rates that rise in stalls, fall while fitness grows fast, and drift back. The defaults are fixed values of the method."""
@@ -235,8 +304,9 @@ class Adaptive:
         return self.rule, self.chromosome
 
 
-def search(bytes_: DataFrame, config: Config = FAST, seed: int = 0, path: str | None = None, on_generation=None) -> tuple[DataFrame, list[dict]]:
-    """The fittest chromosome's rules and the history. Each generation is written under path (or the checkpoint folder), which cuts its lineage."""
+def search(bytes_: DataFrame, config: Config = FAST, seed: int = 0, path: str | None = None, on_generation=None, seed_edges: DataFrame | None = None, control: Adaptive | None = None) -> tuple[DataFrame, list[dict]]:
+    """The fittest chromosome's rules and the history. Each generation is written under path (or the checkpoint folder), which cuts its lineage. on_generation gets each
+    generation's row; False from it ends the search. seed_edges: a stream's edges, of which the heaviest become the first chromosome's rules."""
     from byteloom.operators.graph import digrams
 
     spark = bytes_.sparkSession
@@ -250,24 +320,86 @@ def search(bytes_: DataFrame, config: Config = FAST, seed: int = 0, path: str |
         return spark.read.parquet(f"{path}/{name}")
 
     counted = kept(digrams(bytes_).groupBy("a", "b").agg(F.sum("freq").alias("freq")), "digrams")
-    rules = kept(random_population(spark, config.population, config.first_rules, seed), "generation-0")
-    control, history = Adaptive(config.rule_mutation, config.chromosome_mutation), []
+    first = random_population(spark, config.population, config.first_rules, seed)
+    if seed_edges is not None:
+        first = first.where("chrom_id != 'c0000'").unionByName(from_edges(seed_edges, "c0000", config.first_rules))
+    rules = kept(first, "generation-0")
+    control, history = control or Adaptive(config.rule_mutation, config.chromosome_mutation), []
     for g in range(config.generations):
         scored = kept(fitness(rules, counted, n), f"scores-{g}")
         s = population_statistics(scored, rules).first()
         history.append({"generation": g, **s.asDict()})
-        if on_generation:
-            on_generation(history[-1])
+        stopped = on_generation is not None and on_generation(history[-1]) is False
         window = history[-100:]
         rate = (window[-1]["best_fitness"] - window[0]["best_fitness"]) / (len(window) - 1) if len(window) > 1 else 0.0
-        rule_probability, _ = control.tick(rate)
-        if g + 1 == config.generations:
+        rule_probability, chromosome_probability = control.tick(rate)
+        if stopped or g + 1 == config.generations:
             break
         children = config.population - config.elite
         slots = tournament(scored, 2 * children, config.tournament, seed * 1000 + g)
         named = lambda side: slots.where(F.col("slot") % 2 == side).select(F.col("chrom_id").alias("from_id"), F.format_string("k%04d", F.floor(F.col("slot") / 2)).alias("chrom_id")).join(rules.withColumnRenamed("chrom_id", "from_id"), "from_id").drop("from_id")  # noqa: E731, B023
-        young = mutated(crossed(named(0), named(1), config.crossover, seed + g), rule_probability, config.most_rules, seed + g)
+        young = mutated(crossed(named(0), named(1), config.crossover, seed + g), rule_probability, config.most_rules, seed + g, chromosome_probability)
         old = rules.join(elite(scored, config.elite).select("chrom_id"), "chrom_id").withColumn("chrom_id", F.concat(F.lit("e"), F.substring("chrom_id", 2, 9), F.lit(f"g{g}")))
         rules = kept(young.unionByName(old), f"generation-{g + 1}")
     best = elite(kept(fitness(rules, counted, n), "scores-last"), 1).select("chrom_id")
     return rules.join(best, "chrom_id"), history
+
+
+class Harness:
+    """A search in a thread of the driver: start, pause between generations, resume, stop; and callbacks for a new best, a stall, convergence (once) and every generation."""
+
+    def __init__(self, bytes_: DataFrame, config: Config = FAST, seed: int = 0, path: str | None = None, on_best=None, on_stall=None, on_converged=None, on_generation=None, stall: int = 50, frame: int = 500, least: float = 1e-4):
+        self.bytes, self.config, self.seed, self.path = bytes_, config, seed, path
+        self.on_best, self.on_stall, self.on_converged, self.on_generation, self.stall, self.frame, self.least = on_best, on_stall, on_converged, on_generation, stall, frame, least
+        self.control, self.history, self.rules, self.error, self.best, self.since, self.done = Adaptive(config.rule_mutation, config.chromosome_mutation), [], None, None, float("-inf"), 0, False
+        self._go, self._stop, self._thread = Event(), Event(), None
+        self._go.set()
+
+    def start(self) -> Harness:
+        if self._thread:
+            raise RuntimeError("it was started before")
+        self._thread = Thread(target=self._run, daemon=True)
+        self._thread.start()
+        return self
+
+    def pause(self) -> None:
+        self._go.clear()
+
+    def resume(self) -> None:
+        self._go.set()
+
+    def stop(self) -> None:
+        """Ends the search after the generation that is under way."""
+        self._stop.set()
+        self._go.set()
+
+    def join(self, timeout: float | None = None) -> DataFrame | None:
+        """The fittest chromosome's rules, once the search has ended; None before. An error of the search is raised here."""
+        self._thread.join(timeout)
+        if self.error:
+            raise self.error
+        return self.rules
+
+    def _run(self) -> None:
+        try:
+            self.rules, _ = search(self.bytes, self.config, self.seed, self.path, self._seen, control=self.control)
+        except Exception as e:  # raised in join
+            self.error = e
+
+    def _seen(self, row: dict) -> bool:
+        self.history.append(row)
+        call = lambda f: f and f(row)
+        call(self.on_generation)
+        if row["best_fitness"] > self.best:
+            self.best, self.since = row["best_fitness"], 0
+            call(self.on_best)
+        else:
+            self.since += 1
+            if self.since == self.stall:
+                call(self.on_stall)
+        last = [r["best_fitness"] for r in self.history[-self.frame :]]
+        if not self.done and len(last) == self.frame and all(y - x < self.least for x, y in zip(last, last[1:])):
+            self.done = True
+            call(self.on_converged)
+        self._go.wait()
+        return not self._stop.is_set()

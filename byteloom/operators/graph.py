@@ -219,6 +219,15 @@ def cycle_text(nodes, ops) -> object:
     return F.concat(F.array_join(F.zip_with(nodes, ops, lambda n, o: F.concat(n.cast("string"), F.lit(" --("), o, F.lit(")--> "))), ""), F.get(nodes, F.lit(0)).cast("string"))
 
 
+def phase_of(nodes, v):
+    """The place of a value in a cycle, -1 if it isn't in it."""
+    return (F.array_position(nodes, v) - 1).cast("int")
+
+
+def contains_node(nodes, v):
+    return F.array_contains(nodes, v)
+
+
 def coverage(edge_rows: DataFrame, found: DataFrame) -> DataFrame:
     """Per stream: the share of nodes with an edge out that some cycle visits, and of edges that compress."""
     on = found.select("stream_id", F.explode("nodes").alias("a")).distinct().withColumn("hit", F.lit(1))

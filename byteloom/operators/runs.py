@@ -20,6 +20,13 @@ def steps(bytes_: DataFrame) -> DataFrame:
     return with_next(bytes_).where(F.col("nxt").isNotNull()).select("stream_id", "pos", "v", (F.col("nxt") - F.col("v")).bitwiseAND(255).alias("st"))
 
 
+def triples(bytes_: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(stream_id, pos, before, v, after) of bytes that have both neighbours."""
+    w = Window.partitionBy("stream_id", "c").orderBy("pos")
+    near = with_neighbours(bytes_, 1, 1, chunk).withColumns({"before": F.lag("v").over(w), "after": F.lead("v").over(w)})
+    return near.where("own and before is not null and after is not null").select("stream_id", "pos", "before", "v", "after")
+
+
 def islands(bytes_: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(stream_id, isl, st, p0, m, v0): maximal stretches of m equal steps from byte p0, numbered from 1.
 

@@ -715,3 +715,115 @@ def q_stream_digrams(spark, sf_dir):
     return _long(out.groupBy("stream_id", "a", "b").agg(F.sum("n").alias("freq")), "a", "b")
 
 
+
+
+# -- selection as a service, accessors, logs and wrappers
+
+
+def _shared(spark, name: str) -> str:
+    from uuid import uuid4
+
+    return f"{spark.conf.get('spark.checkpoint.dir', spark.conf.get('spark.sql.warehouse.dir'))}/{name}-{uuid4().hex}"
+
+
+_PLACES = "[" + ", ".join(f"'{t}'" for t in profiles.SEARCHED) + "]"
+
+
+@query("select_snapshot", f"""WITH {EVENTS}, {_FP}, {_KNOWN}, sc AS (SELECT stream_id, domain, 'domain-' || (list_position({_PLACES}, domain) - 1) AS id, list_cosine_similarity({_VEC}::DOUBLE[], vec) AS score FROM fp, kn),
+be AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY round(score, 9) DESC, id) AS k FROM sc)
+SELECT stream_id, 200::BIGINT AS status, '{{"snapshot_id":"' || id || '","score":' || printf('%.4f', score) || ',"domain":"' || domain || '"}}' AS body FROM be WHERE k = 1
+UNION ALL SELECT * FROM (VALUES ('!health', 200, '{{"status":"ok"}}'), ('!get', 405, '{{"error":"method_not_allowed"}}'), ('!empty', 400, '{{"error":"empty_body"}}'), ('!null', 400, '{{"error":"empty_body"}}')) t(stream_id, status, body)""")
+def select_snapshot(spark, sf_dir):
+    """Requests with the bytes of events, and some that select nothing."""
+    asked = streams.collected(streams.events_by_type(spark, sf_dir)).select("stream_id", F.lit("POST").alias("method"), F.lit("/select").alias("path"), "payload")
+    others = spark.createDataFrame([("!health", "GET", "/health", None), ("!get", "GET", "/select", b"x"), ("!empty", "POST", "/select", b""), ("!null", "POST", "/select", None)], asked.schema)
+    return _long(profiles.responses(asked.unionByName(others), profiles.known_domains(spark)), "status")
+
+
+@query("v2_offsets", f"{RUN_CHAIN}, {PARSED}, tk AS (SELECT stream_id, start + 65535 * k AS pos, 33 AS nbits FROM (SELECT *, unnest(range((len + 65534)::BIGINT // 65535)) AS k FROM tok) UNION ALL SELECT b.stream_id, b.pos, 9 FROM b WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.stream_id = b.stream_id AND b.pos >= start AND b.pos < start + len)) SELECT stream_id, CAST(pos AS BIGINT) AS pos, CAST(nbits AS BIGINT) AS nbits, CAST(sum(nbits) OVER (PARTITION BY stream_id ORDER BY pos) - nbits AS BIGINT) AS bit_offset FROM tk")
+def v2_offsets(spark, sf_dir):
+    return _long(codec.offsets(codec.v2_tokens(streams.event_levels(spark, sf_dir))).select("stream_id", "pos", "nbits", "bit_offset"), "pos", "nbits", "bit_offset")
+
+
+@query("compression_summary", _V1.format(src=EVENTS).replace("SELECT stream_id, n, CAST(r AS BIGINT)", "SELECT stream_id, n * 8 AS original_bits, 8 * CAST(9 + (9 * n - 2 * r + 7) // 8 AS BIGINT) AS compressed_bits, round(1 - (9 + (9 * n - 2 * r + 7) // 8) / n, 6) AS saving FROM (SELECT stream_id, n, CAST(r AS BIGINT)").replace(" AS ratio FROM q", " AS ratio, r FROM q)"))
+def compression_summary(spark, sf_dir):
+    return _rounded(codec.summary(codec.v1_tiers(streams.events_by_type(spark, sf_dir))).select("stream_id", "original_bits", "compressed_bits", "saving"), "saving")
+
+
+@query("v3_roundtrip", f"WITH {USERS} SELECT stream_id, count(*) AS n, 1::BIGINT AS mode, true AS equal, true AS embedded FROM b GROUP BY stream_id")
+def v3_roundtrip(spark, sf_dir):
+    raw, inner = streams.collected(streams.events_by_user(spark, sf_dir)), _by_hand()
+    back = codec.unwrapped(codec.wrapped(raw, snapshots.snapshot_id(inner), inner), codec.V3_STANDALONE).withColumnRenamed("payload", "back")
+    return _long(raw.join(back, "stream_id").select("stream_id", F.octet_length("payload").cast("long").alias("n"), "mode", (F.col("payload") == F.col("back")).alias("equal"), (F.sha2("snapshot", 256) == F.col("snapshot_id")).alias("embedded")), "mode")
+
+
+@query("baseline_suite")
+def baseline_suite(spark, sf_dir):
+    return codec.baseline(spark)
+
+
+@query("cycle_phases", f"{_SMALL}, {_CYCLES} SELECT stream_id, path, CAST(coalesce(list_position(nodes, 1), 0) - 1 AS BIGINT) AS phase, list_contains(nodes, 2) AS has_two FROM cy")
+def cycle_phases(spark, sf_dir):
+    found = graph.cycles(_small_edges(spark, sf_dir))
+    return _long(found.select("stream_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "-").alias("path"), graph.phase_of(F.col("nodes"), F.lit(1)).alias("phase"), graph.contains_node(F.col("nodes"), F.lit(2)).alias("has_two")), "phase")
+
+
+@query("value_clusters", "SELECT range AS v, abs(range - 100) <= 3 AS near, 1::BIGINT AS own FROM range(256)")
+def value_clusters(spark, sf_dir):
+    """Which values lie within three of 100, and in how many clusters of a partition each lies."""
+    parts = spark.createDataFrame(algebra.clusters(5), "centroid int, radius int")
+    v = spark.range(256).withColumnRenamed("id", "v")
+    own = v.join(parts, algebra.clustered(F.col("v"), F.col("centroid"), F.col("radius"))).groupBy("v").agg(F.count("*").alias("own"))
+    return v.join(own, "v").select("v", algebra.clustered(F.col("v"), F.lit(100), F.lit(3)).alias("near"), "own")
+
+
+@query("second_deltas", f"WITH {EVENTS}, t AS (SELECT stream_id, lag(v) OVER w AS x, v AS y, lead(v) OVER w AS z FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY pos)) SELECT stream_id, ((z - y) - (y - x)) & 255 AS change, count(*) AS n FROM t WHERE x IS NOT NULL AND z IS NOT NULL GROUP BY ALL")
+def second_deltas(spark, sf_dir):
+    near = runs.triples(streams.events_by_type(spark, sf_dir))
+    return _long(near.groupBy("stream_id", algebra.second_delta(F.col("before"), F.col("v"), F.col("after")).alias("change")).agg(F.count("*").alias("n")), "change")
+
+
+@query("select_elite_fallback", f"{_FIT} SELECT row_number() OVER (ORDER BY fitness DESC, chrom_id) - 1 AS slot, chrom_id FROM ft ORDER BY fitness DESC, chrom_id LIMIT 3")
+def select_elite_fallback(spark, sf_dir):
+    return evolve.elite_then(_scored(spark, sf_dir), 3, 5, 2)
+
+
+@query("chromosome_dominates", _FIT.replace(EVENTS, LEVELS) + " SELECT chrom_id FROM ft WHERE round(fitness, 9) > (SELECT round(fitness, 9) FROM ft WHERE chrom_id = 'c10')")
+def chromosome_dominates(spark, sf_dir):
+    """Chromosomes that are fitter than one of them on the levels of events."""
+    b = streams.event_levels(spark, sf_dir)
+    counted = graph.digrams(b).groupBy("a", "b").agg(F.sum("freq").alias("freq"))
+    s = evolve.fitness(_rules(spark), counted, b.count()).withColumn("fitness", F.round("fitness", 9)).withColumn("against", F.lit("c10"))
+    return evolve.dominating(s, s.where("chrom_id = 'c10'"), "against").select("chrom_id")
+
+
+@query("generation_log", f"WITH {_HISTORY} SELECT generation, generation || ',0,0,' || printf('%.6f', best_fitness::DOUBLE) || ',0.000000,0.000000,0,0,0,0,0.000000' AS csv FROM hi")
+def generation_log(spark, sf_dir):
+    return evolve.log_lines(_history(spark)).select("generation", "csv")
+
+
+@query("fitness_sparkline", f"WITH {_HISTORY}, m AS (SELECT greatest(1, count(*) // {evolve.PARTS}) AS step, min(best_fitness)::DOUBLE AS lo, max(best_fitness)::DOUBLE AS hi FROM hi) SELECT string_agg(substr('{evolve.MARKS}', 1 + least(7, trunc((best_fitness - lo) / (hi - lo) * 7))::BIGINT, 1), '' ORDER BY generation) AS line, round(any_value(lo), 6) AS least, round(any_value(m.hi), 6) AS most FROM hi, m WHERE generation % step = 0")
+def fitness_sparkline(spark, sf_dir):
+    return _rounded(evolve.sparkline(_history(spark)), "least", "most")
+
+
+@query("publish_rules", f"WITH {_RULES} SELECT a, b, count(*) AS n FROM ru GROUP BY a, b")
+def publish_rules(spark, sf_dir):
+    """Chromosomes published to a new store, and their pairs read back from it."""
+    root = _shared(spark, "published")
+    snapshots.publish_rules(spark, root, _rules(spark), "arithmetic", 7, 9)
+    return _long(snapshots.chromosomes(snapshots.stored(spark, root)).groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b")
+
+
+@query("events_sliding_statistics", "SELECT date_trunc('day', ts) - k * INTERVAL 1 DAY AS day, event_type, count(*) AS n, round(avg(CAST(floor(value) AS BIGINT) & 255), 6) AS mean_byte FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
+def events_sliding_statistics(spark, sf_dir):
+    from byteloom.streaming import daily_statistics
+
+    return _rounded(daily_statistics(streams.table(spark, sf_dir, "events"), size="2 days", slide="1 day").select(F.col("start").alias("day"), "event_type", "n", "mean_byte"), "mean_byte")
+
+
+@query("event_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def event_sessions(spark, sf_dir):
+    from byteloom.streaming import session_statistics
+
+    return session_statistics(streams.table(spark, sf_dir, "events"))

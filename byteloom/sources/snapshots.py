@@ -83,6 +83,23 @@ def publish(spark: SparkSession, root: str, contents: DataFrame) -> DataFrame:
     return added.select("id", "domain")
 
 
+def publish_rules(spark: SparkSession, root: str, rules: DataFrame, domain: str, generation: int, ts_ms: int) -> DataFrame:
+    """Publishes chromosomes (chrom_id, rule_no, a, b, op_id, operand), a snapshot each; rules of operators that the container can't name are left out. A chromosome fits a row."""
+
+    def run(frames):
+        for pdf in frames:
+            pdf["content"] = [serialize(generation, ts_ms, domain, [(r["a"], r["b"], r["op_id"]) for r in found]) for found in pdf.found]
+            yield pdf[["domain", "content"]]
+
+    named = rules.groupBy("chrom_id").agg(F.array_sort(F.collect_list(F.when(F.col("op_id").between(0, 13), F.struct("rule_no", "a", "b", "op_id")))).alias("found"))
+    return publish(spark, root, named.select(F.lit(domain).alias("domain"), "found").mapInPandas(run, "domain string, content binary"))
+
+
+def publish_stream(contents: DataFrame, root: str):
+    """A streaming writer that publishes rows (domain, content) of each micro-batch; a batch that is run again adds nothing, as contents have one id."""
+    return contents.writeStream.foreachBatch(lambda batch, _: publish(batch.sparkSession, root, batch) and None)
+
+
 def load(spark: SparkSession, root: str, snapshot: str) -> bytes:
     row = stored(spark, root).where((F.col("prefix") == snapshot[:2]) & (F.col("id") == snapshot)).select("content").first()
     if row is None:

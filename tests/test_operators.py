@@ -316,3 +316,103 @@ def _by_stream(df):
     for r in df.collect():
         out.setdefault(r.stream_id, []).append(r)
     return out
+
+
+def test_mutation_changes_what_it_says(spark):
+    rules = evolve.random_population(spark, 40, 6, 3).cache()
+    same = evolve.mutated(rules, 0.0, 64, 1, 0.0)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, rules.select(same.columns).collect()))
+    pairs = lambda df: {(r.chrom_id, r.a, r.b) for r in df.collect()}
+    before, more, fewer = pairs(rules), pairs(evolve.mutated(rules, 0.0, 64, 1, 1.0)), pairs(evolve.mutated(rules, 1.0, 64, 1, 0.0))
+    assert before <= more and 30 <= len(more) - len(before) <= 40  # one each, but where the pair is there already
+    assert fewer <= before and 5 <= len(before) - len(fewer) <= 35  # half the chromosomes lose one
+    wrong = rules.withColumns({"op_id": F.lit(0), "operand": (F.col("b") - F.col("a")).bitwiseAND(255)})
+    cheap = evolve.mutated(wrong, 1.0, 64, 2, 0.0)
+    assert cheap.withColumn("o", A.cheapest(F.col("a"), F.col("b"))).where("o.op_id != op_id").count() == 0
+    assert max(r["n"] for r in evolve.mutated(rules, 0.0, 4, 1, 1.0).groupBy("chrom_id").agg(F.count("*").alias("n")).collect()) == 4
+
+
+def test_elite_with_its_fallback(spark):
+    scored = spark.createDataFrame([(f"c{i}", float(i)) for i in range(9)], "chrom_id string, fitness double")
+    got = {r.slot: r.chrom_id for r in evolve.elite_then(scored, 6, 2, 3, 1).collect()}
+    assert sorted(got) == list(range(6)) and [got[0], got[1]] == ["c8", "c7"] and set(got.values()) <= {f"c{i}" for i in range(9)}
+    assert evolve.elite_then(scored, 1, 2, 3, 1).collect()[0].chrom_id == "c8"
+
+
+def test_harness_stops_and_reports(spark, tmp_path):
+    seen, bests = [], []
+    h = evolve.Harness(streams.seed(spark, 512), evolve.Config(population=4, generations=50, elite=1, first_rules=4), 1, str(tmp_path / "s"), on_best=bests.append, on_generation=lambda r: seen.append(r) or (len(seen) == 2 and h.stop()))
+    rules = h.start().join(120)
+    assert len(seen) == len(h.history) == 2 and len(bests) >= 1 and rules.count() >= 1
+    with pytest.raises(RuntimeError):
+        h.start()
+    text = evolve.report_text(spark.createDataFrame(h.history), h.control, "x", 2.0)
+    assert "Total generations  : 2" in text and "Gen/sec            : 1.0" in text and "Domain             : x" in text
+    assert "No generations" in evolve.report_text(spark.createDataFrame([], "generation long, best_fitness double"))
+    bad = evolve.Harness(streams.seed(spark, 10), evolve.FAST).start()
+    with pytest.raises(ValueError):
+        bad.join(60)
+
+
+def test_sparkline_of_a_flat_and_of_a_rising_run(spark):
+    flat = spark.createDataFrame([(g, 0.5) for g in range(3)], "generation long, best_fitness double")
+    up = spark.createDataFrame([(g, g / 7) for g in range(8)], "generation long, best_fitness double")
+    assert evolve.sparkline(flat).first().line == evolve.MARKS[3] * 3
+    assert evolve.sparkline(up).first().line == evolve.MARKS
+    assert evolve.sparkline(up.limit(0)).count() == 0
+
+
+def test_wrapped_containers_want_a_known_snapshot(spark, tmp_path):
+    raw = spark.createDataFrame([("x", bytes(range(200)))], "stream_id string, payload binary")
+    content = snapshots.serialize(1, 2, "t", [(1, 2, 11)])
+    snapshots.publish(spark, str(tmp_path / "store"), spark.createDataFrame([("t", content)], "domain string, content binary"))
+    key = snapshots.snapshot_id(content)
+    r = codec.unwrapped(codec.wrapped(raw, key, store=str(tmp_path / "store")), codec.V3_CONNECTED).first()
+    assert (r.mode, r.snapshot_id, r.snapshot, bytes(r.payload)) == (0, key, None, bytes(range(200)))
+    with pytest.raises(snapshots.SnapshotError):
+        codec.wrapped(raw, "0" * 64, store=str(tmp_path / "store"))
+
+
+def _stream(spark, folder, batches, make, tmp_path):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "stream_id string, pos long, v int").coalesce(1).write.parquet(f"{folder}/in/part={i}")
+    source = spark.readStream.schema("stream_id string, pos long, v int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    q = make(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_streamed_runs_end_with_their_stream(spark, tmp_path):
+    from byteloom.streaming import stream_runs
+
+    batches = [[("s", i, 10 + 2 * i) for i in range(3)], [("s", i, 10 + 2 * i) for i in range(3, 6)], [("s", 6, None)]]
+    got = _stream(spark, str(tmp_path), batches, stream_runs, tmp_path).collect()
+    assert [tuple(r) for r in got] == [("s", 2, 0, 6)]
+
+
+def test_late_bytes_are_an_error(spark, tmp_path):
+    from byteloom.streaming import stream_digrams
+
+    with pytest.raises(Exception, match="late, missing or repeated"):
+        _stream(spark, str(tmp_path), [[("s", 0, 1), ("s", 1, 2)], [("s", 1, 3)]], stream_digrams, tmp_path)
+
+
+def test_snapshots_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("d", b"x"), ("e", b"x"), ("d", b"y")], "domain string, content binary").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("domain string, content binary").parquet(str(tmp_path / "in"))
+    snapshots.publish_stream(source, str(tmp_path / "store")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.domain for r in snapshots.stored(spark, str(tmp_path / "store")).collect()) == ["d", "d"]
+
+
+def test_arity_and_second_deltas():
+    assert A.arity(A.Op(0, 1)) == "UNARY" and A.arity(A.Op(39)) == "BINARY"
+
+
+def test_ranking_scores_unreadable_snapshots_zero(spark):
+    from byteloom.operators import profiles
+
+    index = spark.createDataFrame([("a", "audio", True), ("b", "zeros", False), ("c", "zeros", True)], "id string, domain string, readable boolean")
+    sample = profiles.fingerprints(table_of(spark, {"zeros": [0] * 256}))
+    got = [(r.id, r.rank) for r in profiles.ranked(sample, index).orderBy("rank").collect()]
+    assert got == [("c", 1), ("a", 2), ("b", 3)] and profiles.ranked(sample, index).where("id = 'b'").first().score == 0
+    assert profiles.best(sample, index).first().id == "c"
