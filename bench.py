@@ -1,4 +1,5 @@
-"""Seconds of headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: the median of three warm runs each. Prints one line of JSON."""
+"""Seconds of headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: the median of three warm runs each, the containers' ratios over all bytes, and whether
+streams came back from them. Prints one line of JSON."""
 
 import json
 import os
@@ -7,6 +8,8 @@ import time
 
 os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from byteloom.session import session  # noqa: E402
 
 HEADLINE = ["digrams", "document_digrams", "edges", "graph_stats", "patterns", "v2_size", "v1_size", "v1_size_documents", "fingerprint", "fingerprint_lineitem", "population_fitness", "cycles", "snapshot_dedup"]
@@ -27,7 +30,12 @@ def main() -> None:
             QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
             times.append(time.time() - start)
         seconds[name] = round(statistics.median(times[1:]), 3)
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": float(os.path.basename(sf.rstrip("/")).removeprefix("sf") or 0)}), flush=True)
+    ratios = {}
+    for name in ("v1_size", "v1_size_documents", "v2_size"):
+        r = QUERIES[name](spark, sf).agg(F.sum("encoded_bytes").alias("to"), F.sum("n").alias("n")).first()
+        ratios[name] = round(r.to / r.n, 6)
+    back = {name: QUERIES[name](spark, sf).where("not equal").isEmpty() for name in ("v1_cycle_roundtrip", "v2_roundtrip", "v3_roundtrip")}
+    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "ratios": ratios, "round_trips": back, "sf": float(os.path.basename(sf.rstrip("/")).removeprefix("sf") or 0)}), flush=True)
     spark.stop()
 
 

@@ -8,7 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from byteloom.operators import evolve
-from byteloom.session import session
+from byteloom.session import session, ship
 from byteloom.sources import snapshots, streams
 
 PRESETS = {"default": evolve.DEFAULT, "fast": evolve.FAST, "thorough": evolve.THOROUGH}
@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> str:
     from dataclasses import replace
 
     args = parser().parse_args(argv)
-    spark = session("byteloom", args.master)
+    spark = ship(session("byteloom", args.master))
     config = PRESETS[args.preset] if args.generations is None else replace(PRESETS[args.preset], generations=args.generations)
     corpus = streams.files(spark, *args.files) if args.files else streams.seed(spark)
     start = time.time()

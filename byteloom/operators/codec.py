@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from byteloom.functions import algebra
 from byteloom.operators import runs
 from byteloom.operators.graph import CHUNK, digrams, edges, with_next
+from byteloom.session import ship
 
 PREFIX = bytes([0x4D, 0x52, 0x43])
 V3_CONNECTED, V3_STANDALONE, V3_HEADER = 0, 1, 41
@@ -315,6 +316,7 @@ def encoded(streams: DataFrame, version: int = 2, cycles: dict[str, list[list[in
             pdf["encoded"] = [encode_v2_row(bytes(p)) if version == 2 else encode_v1(bytes(p), cycles if isinstance(cycles, list) else (cycles or {}).get(s, ())) for s, p in zip(pdf.stream_id, pdf.payload)]
             yield pdf[["stream_id", "encoded"]]
 
+    ship(streams.sparkSession)
     return streams.select("stream_id", "payload").mapInPandas(run, "stream_id string, encoded binary")
 
 
@@ -326,6 +328,7 @@ def decoded(rows: DataFrame) -> DataFrame:
             pdf["payload"] = [decode(bytes(e)) for e in pdf.encoded]
             yield pdf[["stream_id", "payload"]]
 
+    ship(rows.sparkSession)
     return rows.select("stream_id", "encoded").mapInPandas(run, "stream_id string, payload binary")
 
 
@@ -369,6 +372,7 @@ def wrapped(streams: DataFrame, snapshot_id: str, snapshot: bytes | None = None,
             pdf["encoded"] = [wrap_v3(encode_v2_row(bytes(p)), snapshot_id, snapshot) for p in pdf.payload]
             yield pdf[["stream_id", "encoded"]]
 
+    ship(streams.sparkSession)
     return streams.select("stream_id", "payload").mapInPandas(run, "stream_id string, encoded binary")
 
 
@@ -381,6 +385,7 @@ def unwrapped(rows: DataFrame, mode: int | None = None) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame([(i, *read_v3(bytes(e), mode)) for i, e in zip(pdf.stream_id, pdf.encoded)], columns=["stream_id", "mode", "snapshot_id", "snapshot", "payload"])
 
+    ship(rows.sparkSession)
     return rows.select("stream_id", "encoded").mapInPandas(run, "stream_id string, mode int, snapshot_id string, snapshot binary, payload binary")
 
 

@@ -259,7 +259,7 @@ def report_text(history: DataFrame, control: Adaptive | None = None, domain: str
     rate = convergence(history).orderBy(F.desc("generation")).first().convergence_rate
     out += [f"  Gen/sec            : {r.generations / seconds:.1f}"] if seconds > 0 else []
     out += [f"  Initial best       : {r.start_fitness:.6f}", f"  Final best         : {r.end_fitness:.6f}", f"  Peak best          : {r.peak_fitness:.6f}  (gen {r.peak_generation})", f"  Net improvement    : {r.end_fitness - r.start_fitness:+.6f}"]
-    out += [f"  {label:<19}: {last[name]}" for label, name in (("Final avg fitness", "avg_fitness"), ("Final variance", "variance"), ("Final pop size", "population_size"), ("Unique operators", "unique_operators")) if name in last]
+    out += [f"  {label:<19}: {last[name]:{form}}" for label, name, form in (("Final avg fitness", "avg_fitness", ".6f"), ("Final variance", "variance", ".6f"), ("Final pop size", "population_size", "d"), ("Unique operators", "unique_operators", "d")) if name in last]
     out += [f"  Converged?         : {'YES' if converged(history).first().converged else 'no'}", f"  Convergence rate   : {rate:.8f}"]
     if control:
         out += [f"  Stall boosts       : {control.raised}", f"  Improve dampens    : {control.lowered}", f"  Final rule rate    : {control.rule:.6f}", f"  Final chrom rate   : {control.chromosome:.6f}"]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from byteloom.functions.algebra import cheapest
+from byteloom.session import ship
 
 #: Fixed values of the format.
 MAGIC, VERSION, HEADER = bytes([0x4D, 0x52, 0x43, 0x32]), (2, 0), 29
@@ -91,6 +92,7 @@ def publish_rules(spark: SparkSession, root: str, rules: DataFrame, domain: str,
             pdf["content"] = [serialize(generation, ts_ms, domain, [(r["a"], r["b"], r["op_id"]) for r in found]) for found in pdf.found]
             yield pdf[["domain", "content"]]
 
+    ship(spark)
     named = rules.groupBy("chrom_id").agg(F.array_sort(F.collect_list(F.when(F.col("op_id").between(0, 13), F.struct("rule_no", "a", "b", "op_id")))).alias("found"))
     return publish(spark, root, named.select(F.lit(domain).alias("domain"), "found").mapInPandas(run, "domain string, content binary"))
 
@@ -150,6 +152,7 @@ def _read(rows: DataFrame, kind: int, content: str, parse, schema: str) -> DataF
     """Sections parsed to rows; a section fits a row, and its parser yields tuples after the id."""
     import pandas as pd
 
+    ship(rows.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames):
