@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from byteloom.functions import algebra
+from byteloom.operators import cyclesearch
 
 CHUNK = 1 << 16
+#: Edges of a stream's graph for each task that searches it.
+SHARE = 1024
 
 
 def with_next(bytes_: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -181,11 +184,72 @@ def strong_components(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.select("stream_id", "a", "b").groupBy("stream_id").applyInPandas(run, "stream_id string, node int, root int, size int")
 
 
+def _by_graph(edge_rows: DataFrame, work, columns: str, share: int | None = None) -> DataFrame:
+    """(stream_id, columns) of work(nodes, a, b, cost, weight, part, parts) over whole graphs: a, b are arrays of places in `nodes`, and it yields Arrow columns. With a share,
+    a stream of more than so many edges goes to up to 32 tasks, a part each; each gets the whole graph, of at most 65,536 edges."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for rows in batches:
+            for i in range(rows.num_rows):
+                stream, part, parts = (rows.column(k)[i].as_py() for k in (0, 1, 2))
+                a, b, cost, weight = (rows.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
+                nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                for made in work(nodes, at[: len(a)], at[len(a) :], cost, weight, part, parts):
+                    out = [pa.repeat(pa.scalar(stream, pa.string()), len(made[0])), *made]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = f"stream_id string, {columns}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    parts = F.lit(1) if share is None else F.least(F.lit(32), F.ceil(F.size("e") / share).cast("int"))
+    e = edge_rows.where("a != b").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.col("cost").cast("int").alias("cost"), F.col("weight").cast("double").alias("weight")))).alias("e"))
+    dealt = e.withColumn("parts", parts).select("stream_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "e.a", "e.b", "e.cost", "e.weight")
+    return dealt.repartition(4 * edge_rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+
+
+def _node_type(edge_rows: DataFrame) -> str:
+    return edge_rows.schema["a"].dataType.simpleString()
+
+
+def _cycle_rows(edge_rows: DataFrame, search, share: int | None) -> DataFrame:
+    """(stream_id, nodes, len, total_weight, gain) of the arrays of cycles, one length each, that search(n, a, b, cost, part, parts) gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = _node_type(edge_rows)
+    ints = pa.int64() if kind == "bigint" else pa.int32()
+
+    def work(nodes, a, b, cost, weight, part, parts):
+        n = len(nodes)
+        weights, costs = np.zeros((n, n)), np.zeros((n, n), np.int64)
+        weights[a, b], costs[a, b] = weight, cost
+        for every in search(n, a, b, cost, part, parts):
+            for found in np.split(every, range(1 << 16, len(every), 1 << 16)):
+                k, size = found.shape[1], len(found)
+                steps = [(found[:, i], found[:, (i + 1) % k]) for i in range(k)]
+                total, gain = sum(weights[s] for s in steps), 8.0 * k - sum(costs[s] for s in steps)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * k + 1, k), pa.int32()), pa.array(nodes[found.ravel()], ints))
+                yield lists, pa.repeat(pa.scalar(k, pa.int32()), size), pa.array(total), pa.array(gain)
+
+    return _by_graph(edge_rows, work, f"nodes array<{kind}>, len int, total_weight double, gain double", share)
+
+
 def cycles(edge_rows: DataFrame, longest: int = 4, gaining: bool = False) -> DataFrame:
-    """Simple cycles of 2 to `longest` nodes within strong components: (stream_id, nodes, len, total_weight, gain).
+    """Simple cycles of 2 to `longest` nodes: (stream_id, nodes, len, total_weight, gain).
 
-    A cycle starts at its smallest node; of several orders of one set of nodes the lexically smallest stays. gaining: only cycles of positive gain, found without those
-    paths that can't reach one. Paths grow by one edge a round, as joins."""
+    A cycle starts at its smallest node; of several orders of one set of nodes the lexically smallest stays. To four nodes they are found within the matrix of a graph, whose
+    first nodes are dealt over tasks, so no path is shuffled. gaining: only cycles of positive gain, of several orders the lexically smallest that gains, found without
+    those paths that can't reach one."""
+    if gaining:
+        return _cycle_rows(edge_rows, lambda n, a, b, cost, part, parts: (c for c, _ in cyclesearch.all_gaining(cyclesearch.savings(n, a, b, cost), range(part, n, parts), longest)), SHARE)
+    if longest <= 4:
+        return _cycle_rows(edge_rows, lambda n, a, b, cost, part, parts: cyclesearch.listed(cyclesearch.matrix(n, a, b), range(part, n, parts), longest), SHARE)
+    return _joined_cycles(edge_rows, longest)
+
+
+def _joined_cycles(edge_rows: DataFrame, longest: int) -> DataFrame:
+    """Cycles of any length within strong components. Paths grow by one edge a round, as joins."""
     e = edge_rows.select("stream_id", "a", "b", F.col("cost").cast("long").alias("cost"), "weight")
     parts = strong_components(edge_rows).where("size > 1").select("stream_id", "node", "root")
     inner = e.join(parts.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), ["stream_id", "a"]).join(parts.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), ["stream_id", "b"]).where("ra = rb and a != b").select("stream_id", "a", "b", "cost", "weight")
@@ -193,14 +257,10 @@ def cycles(edge_rows: DataFrame, longest: int = 4, gaining: bool = False) -> Dat
     path = inner.where("b > a").select("stream_id", F.array("a", "b").alias("nodes"), F.col("b").alias("last"), F.col("cost").alias("cost"), F.col("weight").alias("total_weight"))
     found = None
     for n in range(2, longest + 1):
-        if gaining:  # each further edge saves 3 bits at most
-            path = path.where(8 * (n - 1) - F.col("cost") + 3 * (longest - n + 1) > 0)
         closed = path.join(step, ["stream_id", "last"]).where(F.col("to") == F.col("nodes")[0]).select("stream_id", "nodes", F.lit(n).alias("len"), (F.col("total_weight") + F.col("w")).alias("total_weight"), (8 * n - F.col("cost") - F.col("c")).cast("double").alias("gain"))
         found = closed if found is None else found.unionByName(closed)
         if n < longest:
             path = path.join(step, ["stream_id", "last"]).where((F.col("to") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("to"))).select("stream_id", F.concat("nodes", F.array("to")).alias("nodes"), F.col("to").alias("last"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("total_weight") + F.col("w")).alias("total_weight"))
-    if gaining:
-        found = found.where("gain > 0")
     w = Window.partitionBy("stream_id", F.array_sort("nodes")).orderBy("nodes")
     return found.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 

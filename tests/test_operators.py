@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -134,6 +135,35 @@ def test_gaining_cycles_by_pruned_search(spark):
     assert {n for n, _ in key(graph.cycles(e, 4, gaining=True))} >= {n for n, g in key(graph.cycles(e, 4)) if g > 0}
 
 
+def _random_edges(spark, n, share, seed):
+    rnd = random.Random(seed)
+    rows = [("g", a, b, rnd.choice([5, 8, 13]), float(rnd.randrange(50))) for a in range(n) for b in range(n) if rnd.random() < share]
+    return rows, spark.createDataFrame(rows, "stream_id string, a int, b int, cost int, weight double")
+
+
+def _cycles_by_hand(rows, longest):
+    """Of each set of nodes all orders that are cycles, lexically: (nodes, weight, gain)."""
+    known = {(a, b): (c, w) for _, a, b, c, w in rows}
+    nodes, found = sorted({x for e in known for x in e}), []
+    for n in range(2, longest + 1):
+        for chosen in itertools.combinations(nodes, n):
+            orders = [(chosen[0], *p) for p in itertools.permutations(chosen[1:])]
+            closed = [(w, [known.get(e) for e in zip(w, (*w[1:], w[0]))]) for w in orders]
+            found.append([(list(w), sum(x[1] for x in es), 8.0 * n - sum(x[0] for x in es)) for w, es in closed if all(es)])
+    return [x for x in found if x]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.7])
+def test_cycles_within_the_matrix(spark, share):
+    """All lengths against a search by hand; to four nodes, no path is joined, sorted or shuffled."""
+    rows, e = _random_edges(spark, 11, share, 5)
+    key = lambda df: sorted((r.nodes, r.total_weight, r.gain) for r in df.collect())
+    for longest in (2, 3, 4, 5):
+        assert key(graph.cycles(e, longest)) == sorted(x[0] for x in _cycles_by_hand(rows, longest))
+    plan = graph.cycles(e, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+
+
 def test_graph_of_event_bytes(spark, sf):
     """Components and cycles of the whole byte graph against a search by hand."""
     from byteloom.plans.queries import QUERIES
