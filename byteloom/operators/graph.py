@@ -248,6 +248,29 @@ def cycles(edge_rows: DataFrame, longest: int = 4, gaining: bool = False) -> Dat
     return _joined_cycles(edge_rows, longest)
 
 
+def cycle_counts(edge_rows: DataFrame, longest: int = 4) -> DataFrame:
+    """(stream_id, len, node, n): how many of `cycles` visit a node, by length. To four nodes they are counted within the matrix and not listed."""
+    import numpy as np
+    import pyarrow as pa
+
+    if longest > 4:
+        return cycles(edge_rows, longest).select("stream_id", "len", F.explode("nodes").alias("node")).groupBy("stream_id", "len", "node").agg(F.count("*").alias("n"))
+    kind = _node_type(edge_rows)
+
+    def work(nodes, a, b, cost, weight, part, parts):
+        n = cyclesearch.counted(cyclesearch.matrix(len(nodes), a, b), range(part, len(nodes), parts), longest)
+        k, x = np.nonzero(n)
+        if len(k):
+            yield pa.array(k, pa.int32()), pa.array(nodes[x], pa.int64() if kind == "bigint" else pa.int32()), pa.array(n[k, x], pa.int64())
+
+    return _by_graph(edge_rows, work, f"len int, node {kind}, n long", SHARE).groupBy("stream_id", "len", "node").agg(F.sum("n").alias("n"))
+
+
+def cycle_lengths(counted: DataFrame) -> DataFrame:
+    """(stream_id, len, n) of counts by node: a cycle of k nodes is counted k times there."""
+    return counted.groupBy("stream_id", "len").agg(F.sum("n").alias("n")).withColumn("n", F.expr("n div len"))
+
+
 def _joined_cycles(edge_rows: DataFrame, longest: int) -> DataFrame:
     """Cycles of any length within strong components. Paths grow by one edge a round, as joins."""
     e = edge_rows.select("stream_id", "a", "b", F.col("cost").cast("long").alias("cost"), "weight")

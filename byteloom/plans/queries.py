@@ -327,6 +327,10 @@ def _byte_cycles(spark, sf_dir):
     return graph.cycles(_edges(spark, sf_dir), 4)
 
 
+def _byte_cycle_counts(spark, sf_dir):
+    return graph.cycle_counts(_edges(spark, sf_dir), 4)
+
+
 def _paths(df):
     return df.withColumn("path", F.array_join(F.col("nodes").cast("array<string>"), "-"))
 
@@ -343,7 +347,7 @@ def cycles_events(spark, sf_dir):
 
 @query("cycle_hist_events")
 def cycle_hist_events(spark, sf_dir):
-    return _long(_byte_cycles(spark, sf_dir).groupBy("stream_id", "len").agg(F.count("*").alias("n")), "len")
+    return _long(graph.cycle_lengths(_byte_cycle_counts(spark, sf_dir)), "len")
 
 
 @query("cycles_by_node_events")

@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -164,6 +166,24 @@ def test_cycles_within_the_matrix(spark, share):
     assert "Join" not in plan and "Window" not in plan
 
 
+@pytest.mark.parametrize("share", [0.3, 0.7])
+def test_cycle_counts(spark, share):
+    rows, e = _random_edges(spark, 11, share, 6)
+    for longest in (2, 4, 5):
+        want = Counter((len(x[0][0]), n) for x in _cycles_by_hand(rows, longest) for n in x[0][0])
+        counted = graph.cycle_counts(e, longest)
+        assert {(r.len, r.node): r.n for r in counted.collect()} == want
+        assert {r.len: r.n for r in graph.cycle_lengths(counted).collect()} == Counter(len(x[0][0]) for x in _cycles_by_hand(rows, longest))
+
+
+def test_cycle_counts_of_a_full_graph(spark):
+    """Of 256 nodes that all lead to each other: every set of nodes is a cycle."""
+    e = spark.range(65536).select(F.lit("g").alias("stream_id"), F.floor(F.col("id") / 256).alias("a"), (F.col("id") % 256).alias("b"), F.lit(13).alias("cost"), F.lit(1.0).alias("weight"))
+    counted = graph.cycle_counts(e).cache()
+    assert {r.len: r.n for r in graph.cycle_lengths(counted).collect()} == {k: math.comb(256, k) for k in (2, 3, 4)}
+    assert {(r.len, r.n) for r in counted.collect()} == {(k, math.comb(255, k - 1)) for k in (2, 3, 4)}
+
+
 def test_graph_of_event_bytes(spark, sf):
     """Components and cycles of the whole byte graph against a search by hand."""
     from byteloom.plans.queries import QUERIES
