@@ -271,6 +271,11 @@ def cycle_lengths(counted: DataFrame) -> DataFrame:
     return counted.groupBy("stream_id", "len").agg(F.sum("n").alias("n")).withColumn("n", F.expr("n div len"))
 
 
+def visits(counted: DataFrame) -> DataFrame:
+    """What `cycles_by_node` gives, from counts."""
+    return counted.groupBy("stream_id", "node").agg(F.sum("n").alias("n_cycles"))
+
+
 def _joined_cycles(edge_rows: DataFrame, longest: int) -> DataFrame:
     """Cycles of any length within strong components. Paths grow by one edge a round, as joins."""
     e = edge_rows.select("stream_id", "a", "b", F.col("cost").cast("long").alias("cost"), "weight")

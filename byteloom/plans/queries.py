@@ -352,7 +352,7 @@ def cycle_hist_events(spark, sf_dir):
 
 @query("cycles_by_node_events")
 def cycles_by_node_events(spark, sf_dir):
-    return graph.cycles_by_node(_byte_cycles(spark, sf_dir))
+    return graph.visits(_byte_cycle_counts(spark, sf_dir))
 
 
 @query("top_cycles_events")

@@ -182,6 +182,7 @@ def test_cycle_counts_of_a_full_graph(spark):
     counted = graph.cycle_counts(e).cache()
     assert {r.len: r.n for r in graph.cycle_lengths(counted).collect()} == {k: math.comb(256, k) for k in (2, 3, 4)}
     assert {(r.len, r.n) for r in counted.collect()} == {(k, math.comb(255, k - 1)) for k in (2, 3, 4)}
+    assert {r.n_cycles for r in graph.visits(counted).collect()} == {sum(math.comb(255, k - 1) for k in (2, 3, 4))}
 
 
 def test_graph_of_event_bytes(spark, sf):
