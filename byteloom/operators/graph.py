@@ -298,6 +298,17 @@ def top_cycles(found: DataFrame, k: int = 10) -> DataFrame:
     return found.where("gain > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_cycles(edge_rows: DataFrame, longest: int = 8, k: int = 10) -> DataFrame:
+    """`top_cycles` of the gaining cycles of up to `longest` nodes, each stream's searched from the largest gain down, as far as the k first are settled."""
+
+    def search(n, a, b, cost, part, parts):
+        import numpy as np
+
+        return [np.array([nodes]) for nodes, _ in cyclesearch.best_gaining(cyclesearch.savings(n, a, b, cost), longest, k)]
+
+    return top_cycles(_cycle_rows(edge_rows, search, None), k)
+
+
 def cycles_by_node(found: DataFrame) -> DataFrame:
     return found.select("stream_id", F.explode("nodes").alias("node")).groupBy("stream_id", "node").agg(F.count("*").alias("n_cycles"))
 

@@ -357,7 +357,7 @@ def cycles_by_node_events(spark, sf_dir):
 
 @query("top_cycles_events")
 def top_cycles_events(spark, sf_dir):
-    return _long(_paths(graph.top_cycles(graph.cycles(_edges(spark, sf_dir), 8, gaining=True))).select("stream_id", "path", "gain", "rank"), "rank")
+    return _long(_paths(graph.best_cycles(_edges(spark, sf_dir), 8)).select("stream_id", "path", "gain", "rank"), "rank")
 
 
 @query("graph_coverage_events")

@@ -185,6 +185,23 @@ def test_cycle_counts_of_a_full_graph(spark):
     assert {r.n_cycles for r in graph.visits(counted).collect()} == {sum(math.comb(255, k - 1) for k in (2, 3, 4))}
 
 
+@pytest.mark.parametrize("share", [0.4, 1.0])
+def test_best_cycles(spark, share):
+    rows, e = _random_edges(spark, 8, share, 7)
+    gains = [[x for x in orders if x[2] > 0] for orders in _cycles_by_hand(rows, 7)]
+    first = sorted((-x[0][2], len(x[0][0]), x[0][0], x[0][1]) for x in gains if x)
+    assert sorted((-r.gain, r.len, r.nodes, r.total_weight) for r in graph.cycles(e, 7, gaining=True).collect()) == first
+    for k in (1, 10, 1000):
+        assert [(-r.gain, r.len, r.nodes, r.total_weight) for r in graph.best_cycles(e, 7, k).orderBy("rank").collect()] == first[:k]
+
+
+def test_best_cycles_of_a_full_graph(spark):
+    """All 65,536 edges: no cycle of eight saves more than three bits an edge, and ten do."""
+    e = graph.edges(A.lookup(spark).select(F.lit("g").alias("stream_id"), "a", "b", F.lit(1).alias("freq")))
+    got = graph.best_cycles(e).orderBy("rank").collect()
+    assert [(r.nodes, r.gain) for r in got] == [([*range(x, x + 4), *range(252 - x, 256 - x)], 24.0) for x in range(10)]
+
+
 def test_graph_of_event_bytes(spark, sf):
     """Components and cycles of the whole byte graph against a search by hand."""
     from byteloom.plans.queries import QUERIES
