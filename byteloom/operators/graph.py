@@ -328,8 +328,8 @@ def contains_node(nodes, v):
 
 
 def coverage(edge_rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Per stream: the share of nodes with an edge out that some cycle visits, and of edges that compress."""
-    on = found.select("stream_id", F.explode("nodes").alias("a")).distinct().withColumn("hit", F.lit(1))
+    """Per stream: the share of nodes with an edge out that some cycle visits, and of edges that compress. found: cycles, or counts of them by node."""
+    on = found.select("stream_id", (F.explode("nodes") if "nodes" in found.columns else F.col("node")).alias("a")).distinct().withColumn("hit", F.lit(1))
     nodes = edge_rows.select("stream_id", "a").distinct().join(on, ["stream_id", "a"], "left").groupBy("stream_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("node_coverage"))
     return nodes.join(statistics(edge_rows).select("stream_id", F.col("compressing_share").alias("edge_coverage")), "stream_id")
 

@@ -362,7 +362,7 @@ def top_cycles_events(spark, sf_dir):
 
 @query("graph_coverage_events")
 def graph_coverage_events(spark, sf_dir):
-    return _rounded(graph.coverage(_edges(spark, sf_dir), _byte_cycles(spark, sf_dir)), "node_coverage", "edge_coverage")
+    return _rounded(graph.coverage(_edges(spark, sf_dir), _byte_cycle_counts(spark, sf_dir)), "node_coverage", "edge_coverage")
 
 
 _TEXT = "CASE op_id WHEN 0 THEN 'x + ' || operand WHEN 8 THEN 'x << ' || operand WHEN 9 THEN 'x >> ' || operand WHEN 10 THEN '~x' WHEN 11 THEN 'x+1' WHEN 12 THEN 'x-1' ELSE 'x' END"

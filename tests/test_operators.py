@@ -183,6 +183,16 @@ def test_cycle_counts_of_a_full_graph(spark):
     assert {r.len: r.n for r in graph.cycle_lengths(counted).collect()} == {k: math.comb(256, k) for k in (2, 3, 4)}
     assert {(r.len, r.n) for r in counted.collect()} == {(k, math.comb(255, k - 1)) for k in (2, 3, 4)}
     assert {r.n_cycles for r in graph.visits(counted).collect()} == {sum(math.comb(255, k - 1) for k in (2, 3, 4))}
+    assert [r.node_coverage for r in graph.coverage(e, counted).collect()] == [1.0]
+
+
+def test_coverage_from_counts(spark):
+    rows, e = _random_edges(spark, 11, 0.1, 8)
+    visited = {n for x in _cycles_by_hand(rows, 4) for n in x[0][0]}
+    out = {r[1] for r in rows}
+    for found in (graph.cycles(e), graph.cycle_counts(e)):
+        r = graph.coverage(e, found).first()
+        assert 0 < r.node_coverage < 1 and r.node_coverage == len(visited & out) / len(out)
 
 
 @pytest.mark.parametrize("share", [0.4, 1.0])
